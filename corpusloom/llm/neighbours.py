@@ -22,8 +22,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +31,14 @@ from ..session import cut
 
 DIM = 64
 K = 10
-LIST = 20
+LIST = 16
 TREES = 4
 LEAF = 1536
 SAMPLE = 16_384
 TASK_ROWS = 40_000
-BLOCK = 4_096
+BLOCK = 8_192
 ROUNDS = 4
-SETTLED = 0.01
+SETTLED = 0.02
 
 
 def usable(df: DataFrame, vector: str, dim: int = DIM) -> DataFrame:
@@ -49,13 +49,14 @@ def usable(df: DataFrame, vector: str, dim: int = DIM) -> DataFrame:
 
 
 def _pack_vectors(dim: int):
-    """(id, embedding) -> (id, raw): float32 bytes, all that later stages move."""
+    """(id, v) -> (id, digest, raw): float32 bytes, and 128 bits that stand for them where only equality counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0)  # -0 as 0
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), b.num_rows, [None, pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("id"), raw], ["id", "raw"])
+            raw = [r.tobytes() for r in flat.reshape(-1, dim)]
+            digest = [xxhash.xxh3_128_digest(r) for r in raw]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], ["id", "digest", "raw"])
 
     return run
 
@@ -73,12 +74,14 @@ def _halves(raw: list[bytes], dim: int) -> np.ndarray:
 def nodes(df: DataFrame, vector: str, id_: str, dim: int = DIM) -> tuple[DataFrame, DataFrame]:
     """Members (id, node) and nodes (node, raw, first): a node is the least id of a set of equal vectors, ``first`` its K + 1 least ids."""
     rows = usable(df, vector, dim).where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    packed = cut(rows.mapInArrow(_pack_vectors(dim), "id long, raw binary").groupBy("id").agg(F.min("raw").alias("raw")))
-    least = packed.groupBy("raw").agg(F.min("id").alias("node"))
-    members = packed.join(least, "raw").select("id", "node")
+    packed = cut(rows.mapInArrow(_pack_vectors(dim), "id long, digest binary, raw binary"))
+    one = packed.groupBy("id").agg(F.min("digest").alias("digest"))
+    least = one.groupBy("digest").agg(F.min("id").alias("node"))
+    members = cut(one.join(least, "digest").select("id", "node"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("id"))
     few = members.withColumn("k", rank).where(F.col("k") <= K + 1).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("first"))
-    return cut(members), cut(least.join(few, "node"))
+    held = packed.join(least.select(F.col("node").alias("id"), "digest"), ["id", "digest"]).groupBy(F.col("id").alias("node")).agg(F.first("raw").alias("raw"))
+    return members, cut(held.join(few, "node"))
 
 
 class Forest:
@@ -105,6 +108,9 @@ class Forest:
                     kids[parent][side] = at
             self.trees.append((np.array(planes, np.float32), np.array(kids, np.int64)))
 
+    def leaves(self, tree: int) -> int:
+        return len(self.trees[tree][0]) + 1
+
     @staticmethod
     def halve(x: np.ndarray, rng: np.random.Generator, tries: int = 4) -> np.ndarray | None:
         """The plane between two random points that divides most evenly, None if none divides."""
@@ -149,7 +155,7 @@ def _best(scores: np.ndarray, keep: int) -> np.ndarray:
     return np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if scores.shape[1] > keep else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
 
 
-def _first_lists(dim: int, keep: int, leaf: int):
+def _first_lists(dim: int, keep: int, leaf: int, together: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         ids = t.column("node").to_numpy()
         x = np.frombuffer(b"".join(t.column("half").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
@@ -160,7 +166,8 @@ def _first_lists(dim: int, keep: int, leaf: int):
         who, home, nb, sims = [], [], [], []
         for n, rows in enumerate(_local_leaves(x, leaf, rng)):
             local, own = x[rows], ids[rows]
-            block = (group * 64 + salt) * 1024 + n
+            part = n // max(1, BLOCK // leaf) if len(ids) > BLOCK else 0
+            block = ((group // together) << 40) + (salt << 16) + part
             for a in range(0, len(rows), 512):
                 s = local[a : a + 512] @ local.T
                 s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
@@ -207,22 +214,21 @@ def _merge_lists(keep: int):
     return run
 
 
-def _exploded(dim: int = 8):
-    """(key, bytes of ids) -> one row for each distinct id a key has within the batch."""
+def _reach(key: tuple, t: pa.Table) -> pa.Table:
+    """The distinct ids in the lists of one block."""
+    ids = np.unique(np.frombuffer(b"".join(t.column("nb").to_pylist()), np.int64))
+    return pa.table({"home": pa.array(np.full(len(ids), key[0].as_py()), pa.int64()), "node": pa.array(ids, pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.frombuffer(x, np.int64) for x in b.column("nb").to_pylist()]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.stack([np.repeat(b.column("home").to_numpy(), n), np.concatenate(ids) if ids else np.zeros(0, np.int64)], 1)
-            flat = np.unique(flat, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["home", "node"])
 
-    return run
+def _both(key: tuple, t: pa.Table) -> pa.Table:
+    """The nodes whose vectors one block needs: its own and all that its own and its neighbours' lists name."""
+    ids = np.unique(np.concatenate([np.frombuffer(b"".join(t.column("load").to_pylist()), np.int64), t.column("node").to_numpy()]))
+    return pa.table({"home": pa.array(np.full(len(ids), key[0].as_py()), pa.int64()), "node": pa.array(ids, pa.int64())})
 
 
 def _pairs_of(df: DataFrame) -> DataFrame:
-    return df.select("home", "nb").mapInArrow(_exploded(), "home long, node long").distinct()
+    """(home, node), distinct: the nodes that the lists of each block name."""
+    return df.select("home", "nb").groupBy("home").applyInArrow(_reach, "home long, node long")
 
 
 def _descend(dim: int, keep: int):
@@ -284,6 +290,8 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
     sample = _doubles([bytes(r.raw) for r in picked], dim).astype(np.float32) if picked else np.zeros((0, dim), np.float32)
     forest = Forest(sample, trees, max(8, math.ceil(leaf * len(sample) / max(count, 1))))
 
+    together = max(1, BLOCK * forest.leaves(0) // max(count, 1))  # neighbouring leaves share a block
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -296,25 +304,25 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
 
     dealt = points.select("node", "raw").mapInArrow(deal, "node long, half binary, tree int, leaf long")
     sizes = dealt.groupBy("tree", "leaf").count().where(F.col("count") > TASK_ROWS)
-    wide = {(r.tree, r.leaf): min(64, -(-r["count"] // TASK_ROWS)) for r in sizes.collect()}  # at most the forest's leaves
+    wide = {(r.tree, r.leaf): -(-r["count"] // TASK_ROWS) for r in sizes.collect()}  # at most the forest's leaves
     salt = F.lit(0).cast("long")
     for (tree, number), parts in wide.items():
         salt = F.when((F.col("tree") == tree) & (F.col("leaf") == number), F.pmod(F.xxhash64("node"), F.lit(parts))).otherwise(salt)
-    made = dealt.withColumn("salt", salt).groupBy("tree", "leaf", "salt").applyInArrow(_first_lists(dim, keep, leaf), "node long, home long, nb binary, sim binary")
+    made = dealt.withColumn("salt", salt).groupBy("tree", "leaf", "salt").applyInArrow(_first_lists(dim, keep, leaf, together), "node long, home long, nb binary, sim binary")
 
     merged = "node long, home long, nb binary, sim binary, changed int"
     halves = points.select("node", "raw").mapInArrow(_to_half(dim), "node long, half binary")
     listed = made.groupBy("node").agg(F.collect_list("nb").alias("nbs"), F.collect_list("sim").alias("sims"), F.max("home").alias("home"))
     g = cut(listed.withColumn("old", F.lit(None).cast("binary")).mapInArrow(_merge_lists(keep), merged))
     for _ in range(rounds):
-        lists = _pairs_of(g).join(g.select("node", "nb"), "node")
+        near = _pairs_of(g).join(g.select("node", "nb"), "node").select("home", F.lit(1).alias("kind"), "node", F.col("nb").alias("load"))
         inner = g.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"))
-        near = lists.select("home", F.lit(1).alias("kind"), "node", F.col("nb").alias("load"))
-        reach = _pairs_of(lists.select("home", "nb").unionByName(g.select("home", F.col("nb")))).unionByName(g.select("home", "node")).distinct()
+        lists = cut(inner.unionByName(near).repartition("home"))
+        reach = lists.groupBy("home").applyInArrow(_both, "home long, node long")
         worst = g.select("node", F.col("sim"))
         vectors = halves.join(worst, "node").select("node", F.concat("half", F.when(F.length("sim") >= 2 * keep, F.substring("sim", -2, 2)).otherwise(F.lit(_LEAST_HALF))).alias("load"))
         far = reach.join(vectors, "node").select("home", F.lit(2).alias("kind"), "node", "load")
-        better = inner.unionByName(near).unionByName(far).groupBy("home").applyInArrow(_descend(dim, keep), "node long, nb binary, sim binary")
+        better = lists.unionByName(far).groupBy("home").applyInArrow(_descend(dim, keep), "node long, nb binary, sim binary")
         joined = g.select("node", "home", "nb", "sim", F.col("nb").alias("old")).unionByName(better.select("node", F.lit(None).cast("long").alias("home"), "nb", "sim", F.lit(None).cast("binary").alias("old")))
         both = joined.groupBy("node").agg(F.collect_list("nb").alias("nbs"), F.collect_list("sim").alias("sims"), F.max("home").alias("home"), F.max("old").alias("old"))
         g = cut(both.mapInArrow(_merge_lists(keep), merged))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chosen_path, encoding, neighbours, packing, splitting
+from . import chosen_path, encoding, leakage, neighbours, packing, reading_level, splitting, subjects
 from .common import latest
 
 
@@ -35,6 +35,14 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.link_counts(*chosen_path.join(table(spark, sf_dir, "corpus_document")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_level.read_levels(table(spark, sf_dir, "curation_smoke"), table(spark, sf_dir, "level_sample"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "corpus_document"), table(spark, sf_dir, "pubmedqa_item"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(table(spark, sf_dir, "corpus_document").select("document_id", "text", "ingested_at"), "document_id", "ingested_at")
 
@@ -58,8 +66,23 @@ def p8_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes).select(F.col("item").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), F.concat_ws("-", "round", "grp", "box").alias("container_id"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.find_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_sample")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_classes": p2_classes, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_assignment": p8_assignment}
+    return {
+        "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_classes": p2_classes,
+        "p3_found": p3_found,
+        "p5_found": p5_found,
+        "p6_found": p6_found,
+        "p6_pieces": p6_pieces,
+        "p7_ids": p7_ids,
+        "p8_assignment": p8_assignment,
+        "p9_found": p9_found,
+    }
 
 
 _P2_PAIRS = """
