@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chosen_path, encoding, leakage, neighbours, packing, reading_level, splitting, subjects
+from . import chosen_path, encoding, leakage, neighbours, packing, reading_level, scans, splitting, subjects
 from .common import latest
 
 
@@ -39,6 +39,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.read_levels(table(spark, sf_dir, "curation_smoke"), table(spark, sf_dir, "level_sample"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.defects(table(spark, sf_dir, "corpus_document"))
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.reflow(table(spark, sf_dir, "corpus_document"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "corpus_document"), table(spark, sf_dir, "pubmedqa_item"))
 
@@ -76,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p2_classes": p2_classes,
         "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_paragraphs": p4_paragraphs,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
