@@ -317,7 +317,7 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
     for _ in range(rounds):
         near = _pairs_of(g).join(g.select("node", "nb"), "node").select("home", F.lit(1).alias("kind"), "node", F.col("nb").alias("load"))
         inner = g.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"))
-        lists = cut(inner.unionByName(near).repartition("home"))
+        lists = cut(inner.unionByName(near))
         reach = lists.groupBy("home").applyInArrow(_both, "home long, node long")
         worst = g.select("node", F.col("sim"))
         vectors = halves.join(worst, "node").select("node", F.concat("half", F.when(F.length("sim") >= 2 * keep, F.substring("sim", -2, 2)).otherwise(F.lit(_LEAST_HALF))).alias("load"))
