@@ -149,11 +149,29 @@ class Patterns:
         seed = seed[one]
         good = np.zeros(len(seed), bool)
         for a in range(0, len(seed), 4096):
-            s = seed[a : a + 4096]
-            good[a : a + 4096] = self.aligned(stream, pos[s], place[s])
+            s = a + np.flatnonzero(self.likely(stream, pos[seed[a : a + 4096]], place[seed[a : a + 4096]]))
+            good[s] = self.aligned(stream, pos[seed[s]], place[seed[s]])
         got = np.unique(np.stack([row[seed[good]], passage[seed[good]]]), axis=1)
         return got[0], got[1]
 
+    def likely(self, stream: np.ndarray, pos: np.ndarray, place: np.ndarray, reach: int = 6) -> np.ndarray:
+        """What an alignment needs at least: PASSAGE words in a row of the passage of which all but three, a rare one among
+        them, stand within ``reach`` words of their place on the diagonal."""
+        half = SPAN // 2
+        item = _window(self.stream, place - half, SPAN + RUN)
+        text = _window(stream, pos - half - reach, SPAN + RUN + 2 * reach)
+        there = np.zeros(item.shape, bool)
+        for k in range(2 * reach + 1):
+            there |= item == text[:, k : k + SPAN + RUN]
+        there &= item > 0
+        rare = there & (_window(self.rare.astype(np.int64), place - half, SPAN + RUN) == 1)
+
+        def within(x: np.ndarray) -> np.ndarray:
+            total = np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1)
+            return total[:, PASSAGE:] - total[:, :-PASSAGE]
+
+        return ((within(there) >= PASSAGE - 3) & (within(rare) >= 1)).any(axis=1)
+
     def aligned(self, stream: np.ndarray, pos: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Whether the words around a common pattern align over at least PASSAGE words of the passage with few errors.
 
