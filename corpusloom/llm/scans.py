@@ -222,7 +222,11 @@ def reflow(docs: DataFrame) -> DataFrame:
     numbered = marked.withColumn("new", F.when((F.col("kind") == "body") & gap & ended, 1).otherwise(0)).withColumn("paragraph_no", F.sum("new").over(order) + 1)
     flow = numbered.where(F.col("kind") == "body").join(halves.where("split").select("document_id", "line_no", F.lit(True).alias("cut")), ["document_id", "line_no"], "left")
     flow = flow.join(fixes, ["document_id", "line_no"], "left")
-    mended = F.array_join(F.transform(F.split("line", " "), lambda w: F.coalesce(F.try_element_at(F.col("fix"), F.lower(w)), w)), " ")
+    outer = r"[^\p{L}\p{N}@!|$]*"
+    right = lambda w: F.try_element_at(F.col("fix"), bare(w))
+    cased = lambda w: F.when(w.rlike("^" + outer + r"\p{Lu}"), F.initcap(right(w))).otherwise(right(w))
+    whole = lambda w: F.concat(F.regexp_extract(w, "^" + outer, 0), cased(w), F.regexp_extract(w, outer + "$", 0))
+    mended = F.array_join(F.transform(F.split("line", " "), lambda w: F.coalesce(whole(w), w)), " ")
     text = F.when(F.col("fix").isNotNull(), mended).otherwise(F.col("line"))
     joined = F.when(F.coalesce("cut", F.lit(False)), F.regexp_replace(text, "[" + HYPHENS + "]$", "")).when(text.rlike("-$"), text).otherwise(F.concat(text, F.lit(" ")))
     parts = flow.select("document_id", "paragraph_no", F.struct("line_no", joined.alias("s")).alias("p"))
