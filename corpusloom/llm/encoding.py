@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import cut, shared_dir
 from .common import lists, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -193,10 +193,14 @@ class Lexicon:
 
 
 def frequent_words(df: DataFrame, text: str, most: int) -> list[str]:
-    """The ``most`` words found most often in all texts; the count runs on the JVM and combines before it shuffles."""
+    """Words that are at least one in ``4 * most`` of all words of all texts, so at most ``4 * most`` of them; no task sends more than it counts.
+
+    The count runs on the JVM and combines before it shuffles.
+    """
     words = df.select(F.explode(F.regexp_extract_all(text, F.lit(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    top = words.where(F.length("w") <= 64).groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
-    return [r.w for r in top.collect()]
+    counts = cut(words.where(F.length("w") <= 64).groupBy("w").count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return [r.w for r in counts.where(F.col("count") * (4 * most) >= total).select("w").collect()]
 
 
 def build_lexicon(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, most: int = LEXICON_WORDS) -> Lexicon:
