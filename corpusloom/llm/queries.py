@@ -51,18 +51,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "corpus_document"), table(spark, sf_dir, "pubmedqa_item"))
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(table(spark, sf_dir, "corpus_document").select("document_id", "text", "ingested_at"), "document_id", "ingested_at")
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that the operator cuts at least once, which only texts over the limit are."""
-    ends = splitting.cuts(_texts(spark, sf_dir))
+    ends = splitting.cuts(table(spark, sf_dir, "corpus_document"))
     return ends.where(F.col("end") < F.col("total")).select("document_id").distinct()
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.pieces(_texts(spark, sf_dir))
+    return splitting.pieces(table(spark, sf_dir, "corpus_document"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import lists, slices
+from .common import latest, lists, slices
 
 LIMIT = 510
 OVERLAP = 64
@@ -55,27 +55,29 @@ def boundaries(text: str, starts: np.ndarray, limit: int, overlap: int) -> np.nd
 def _scan(limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, totals, ends = [], [], []
-            for key, text in zip(b.column("document_id").to_pylist(), b.column("text").to_pylist()):
-                if not text or len(text) <= limit or len(_TOKENS.findall(text)) <= limit:
-                    continue
-                starts = token_starts(text)
-                ids.append(key)
+            totals, ends = [], []
+            for text in b.column("text").to_pylist():
+                over = text and len(text) > limit and len(_TOKENS.findall(text)) > limit
+                starts = token_starts(text) if over else np.zeros(0, np.int64)
                 totals.append(len(starts))
-                ends.append(boundaries(text, starts, limit, overlap))
-            flat = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+                ends.append(boundaries(text, starts, limit, overlap) if over else starts)
+            flat = np.concatenate(ends)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(totals, pa.int32()), lists(flat, [len(e) for e in ends], pa.int32())], ["document_id", "total", "ends"]
+                [b.column("document_id"), b.column("stamp"), pa.array(totals, pa.int32()), lists(flat, [len(e) for e in ends], pa.int32())],
+                ["document_id", "stamp", "total", "ends"],
             )
 
     return run
 
 
 def cuts(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(document_id, total, end): every end of a piece of every text over the limit, in tokens; found by pointer doubling."""
+    """(document_id, total, end) of ``docs(document_id, text, ingested_at)``: every end of a piece of every text over the limit, in tokens; found by pointer doubling."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and under the limit")
-    scanned = docs.select("document_id", "text").mapInArrow(_scan(limit, overlap), "document_id string, total int, ends array<int>")
+    rows = docs.select("document_id", "text", F.col("ingested_at").alias("stamp"))
+    kind = rows.schema["stamp"].dataType.simpleString()
+    scanned = rows.mapInArrow(_scan(limit, overlap), f"document_id string, stamp {kind}, total int, ends array<int>")
+    scanned = cut(latest(scanned, "document_id", "stamp").where(F.col("total") > 0).select("document_id", "total", "ends"))  # boundaries are shuffled, not texts
     each = scanned.select("document_id", "total", F.explode("ends").alias("at"))
     reach = Window.partitionBy("document_id").orderBy("at").rangeBetween(0, limit - overlap)
     step = cut(each.withColumn("next", F.max("at").over(reach)))
@@ -97,6 +99,7 @@ def cuts(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFra
 
 def pieces(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(document_id, ordinal, token_start, token_count, text) of each piece of the texts over the limit; ordinal counts from 1."""
+    docs = latest(docs.select("document_id", "text", "ingested_at"), "document_id", "ingested_at")
     ends = cuts(docs, limit, overlap).groupBy("document_id").agg(F.sort_array(F.collect_list("end")).alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
