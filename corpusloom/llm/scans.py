@@ -14,11 +14,16 @@ of a repeated document_id the latest row by ingested_at counts; rows without doc
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import latest
+from .common import latest, slices
 
 LEAST_FORM = 5
 RATIO = 12
@@ -47,15 +52,38 @@ def bare(token: Column) -> Column:
 
 
 #: A token that may be a misread word: letters and the odd substitute, no capital but the first.
-WORDLIKE = r"^[\p{L}@!|$0-9][\p{Ll}@!|$0-9'\-‐‑]*$"
+_WORDLIKE = re.compile(r"[^\W_][a-zß-öø-ÿ@!|$0-9'\-‐‑]*$|[@!|$][a-zß-öø-ÿ@!|$0-9'\-‐‑]*$")
+_OUTER = re.compile(r"^(?:[^\w@!|$]|_)+|(?:[^\w@!|$]|_)+$")
+
+
+def _core(token: str) -> str:
+    """``bare`` in Python, before lower-casing."""
+    return token if token.isalnum() else _OUTER.sub("", token)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n, n_clean, skel) over every text of ``docs(text, scanned)``."""
-    tokens = docs.select("scanned", F.explode(F.split("text", r"\s+")).alias("t")).where(F.length("t").between(2, 60))
-    words = tokens.select("scanned", bare(F.col("t")).alias("word")).where(F.col("word").rlike(r"\p{L}"))
-    n = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("scanned")).alias("n_clean"))
-    return n.withColumn("skel", skeleton(F.col("word")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            raw = {True: Counter(), False: Counter()}
+            for text, scanned in zip(b.column("text").to_pylist(), b.column("scanned").to_pylist()):
+                raw[scanned].update(text.split())
+            n: Counter = Counter()
+            clean: Counter = Counter()
+            for scanned, counts in raw.items():
+                for token, k in counts.items():
+                    if 2 <= len(token) <= 60:
+                        word = _core(token).lower()
+                        if any(map(str.isalpha, word)):
+                            n[word] += k
+                            if not scanned:
+                                clean[word] += k
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([clean[w] for w in n], pa.int64())], ["word", "n", "n_clean"])
+
+    each = docs.select("text", "scanned").mapInArrow(run, "word string, n long, n_clean long")
+    total = each.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_clean").alias("n_clean"))
+    return total.withColumn("skel", skeleton(F.col("word")))
 
 
 def suspects(counts: DataFrame) -> DataFrame:
@@ -76,9 +104,9 @@ def suspects(counts: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(document_id, title, line_no, line): lines counted from 1, outer white space off."""
-    each = docs.select("document_id", "title", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    return each.select("document_id", "title", (F.col("at") + 1).cast("long").alias("line_no"), F.regexp_replace("raw", r"^[\s ]+|[\s ]+$", "").alias("line"))
+    """(document_id, titled, line_no, line): lines counted from 1, outer white space off; titled is the title's head shape."""
+    each = docs.select("document_id", _head_shape(F.regexp_replace("title", r"[0-9]+", " ")).alias("titled"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    return each.select("document_id", "titled", (F.col("at") + 1).cast("long").alias("line_no"), F.regexp_replace("raw", r"^[\s ]+|[\s ]+$", "").alias("line"))
 
 
 def _roman(text: Column) -> Column:
@@ -109,31 +137,32 @@ def kinds(every: DataFrame) -> DataFrame:
     paged = F.coalesce(F.col("num").isNotNull() & (steps | lone), F.lit(False))
     opening = (F.col("line_no") == 1) & line.startswith("## Pages")
 
-    shape = _head_shape(line)
-    titled = _head_shape(F.regexp_replace("title", r"[0-9]+", " "))
-    part = F.trim(F.regexp_replace(_head_shape(F.regexp_replace(F.regexp_replace(line, r"\s+[—–|]\s.*$", ""), r"(?i),?\s*v[o0]l\W*\s*[0-9ivxlc]+\W*$", "")), r"^# | #$", ""))
     words = F.size(F.split(line, r"\s+"))
     upper = (F.length(F.regexp_replace(line, r"[^\p{Ll}]", "")) <= 1) & line.rlike(r"\p{Lu}.*\p{Lu}.*\p{Lu}")
     fit = (
-        (words <= 10)
-        & line.rlike(r"\p{L}{2}")
-        & line.rlike(r"^[^\p{L}\p{N}#]*(\p{Lu}|[0-9]+[^0-9.,]|[0-9]\p{L}|[@!])")
+        line.rlike(r"^[^\p{L}\p{N}#]*(\p{Lu}|[0-9]+[^0-9.,]|[0-9]\p{L}|[@!])")
         & ~line.rlike(r"[.,;:)]$|[" + HYPHENS + r"]$")
+        & line.rlike(r"\p{L}{2}")
         & ~line.rlike(r"[0-9]\.[0-9]")
+        & (words <= 10)
     )
-    rows = rows.withColumn("fit", fit & ~paged & ~opening).withColumn("shape", F.when(F.col("fit"), shape))
-    is_title = F.col("fit") & (F.length(titled) >= 4) & (F.levenshtein(part, titled) <= F.greatest(F.lit(1), F.floor(F.length(titled) * 0.12)))
-    within = F.count("shape").over(Window.partitionBy("document_id", "shape"))
-    rows = rows.withColumn("is_title", is_title).withColumn("within", within)
+    rows = cut(rows.select("document_id", "titled", "line_no", "line", "width", paged.alias("paged"), opening.alias("opening"), (fit & ~paged & ~opening).alias("fit")))
+
+    # few lines have the look of a head; only they are compared
+    some = rows.where("fit").withColumn("shape", _head_shape(line))
+    part = F.trim(F.regexp_replace(_head_shape(F.regexp_replace(F.regexp_replace(line, r"\s+[—–|]\s.*$", ""), r"(?i),?\s*v[o0]l\W*\s*[0-9ivxlc]+\W*$", "")), r"^# | #$", ""))
+    titled = F.col("titled")
+    is_title = (F.length(titled) >= 4) & (F.levenshtein(part, titled) <= F.greatest(F.lit(1), F.floor(F.length(titled) * 0.12)))
+    some = some.withColumn("is_title", is_title).withColumn("within", F.count(F.lit(1)).over(Window.partitionBy("document_id", "shape")))
     marked = F.col("shape").contains("#") | upper | line.rlike(r"^\[.*\]$")
     short = F.length(line) <= 0.75 * F.col("width")
-    rows = rows.withColumn("maybe", F.col("fit") & short & (words <= 8) & (marked | (F.col("within") >= 2)))
-    rows = cut(rows.select("document_id", "line_no", "line", "shape", "within", "maybe", "is_title", paged.alias("paged"), opening.alias("opening")))
-    rows = rows.withColumn("core", F.regexp_replace("shape", "^(?:ehap # )|^# | #$", ""))  # the section's name, however it is set
-    shared = rows.where("maybe").groupBy("core").agg(F.count_distinct("document_id").alias("texts")).where(F.col("texts") >= HEAD_TEXTS).select("core", F.lit(True).alias("known"))
-    rows = rows.join(shared, "core", "left")
-    head = F.col("is_title") | (F.col("maybe") & (F.col("known") | (F.col("within") >= 2)))
-    kind = F.when(F.col("opening"), "open").when(line == "", "blank").when(F.col("paged"), "page_number").when(F.coalesce(head, F.lit(False)), "running_head").otherwise("body")
+    some = some.withColumn("maybe", short & (words <= 8) & (marked | (F.col("within") >= 2)))
+    some = cut(some.select("document_id", "line_no", "within", "maybe", "is_title", F.regexp_replace("shape", "^(?:ehap # )|^# | #$", "").alias("core")))  # core: the section's name, however it is set
+    shared = some.where("maybe").groupBy("core").agg(F.count_distinct("document_id").alias("texts")).where(F.col("texts") >= HEAD_TEXTS).select("core", F.lit(True).alias("known"))
+    head = F.col("is_title") | (F.col("maybe") & (F.coalesce("known", F.lit(False)) | (F.col("within") >= 2)))
+    heads = some.join(shared, "core", "left").where(head).select("document_id", "line_no", F.lit(True).alias("head"))
+    rows = rows.join(heads, ["document_id", "line_no"], "left")
+    kind = F.when(F.col("opening"), "open").when(line == "", "blank").when(F.col("paged"), "page_number").when(F.col("head"), "running_head").otherwise("body")
     return cut(rows.select("document_id", "line_no", "line", kind.alias("kind")))
 
 
@@ -156,31 +185,73 @@ def hyphened(body: DataFrame, counts: DataFrame) -> DataFrame:
     return cut(halves.select("document_id", "line_no", "next_no", "a", "b", split.alias("split")))
 
 
+def _slices_of(df: DataFrame, key: str) -> list[DataFrame]:
+    """df in parts of at most about SMALL_ROWS rows by hash of the key, each fit to go to every task."""
+    parts = max(1, -(-df.count() // SMALL_ROWS))
+    return [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _occurrences(rows: DataFrame, doubtful: set[str]) -> DataFrame:
+    """(document_id, line_no, word, left, right): whole tokens of the lines that are in ``doubtful``, with their neighbours."""
+    shared = rows.sparkSession.sparkContext.broadcast(doubtful)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for b in batches:
+            at, found = [], []
+            for i, (line, end, begin) in enumerate(zip(b.column("line").to_pylist(), b.column("cut_end").to_pylist(), b.column("cut_begin").to_pylist())):
+                tokens = line.split()
+                for k in range(1 if begin else 0, len(tokens) - (1 if end else 0)):
+                    core = _core(tokens[k])
+                    if core.lower() in wanted and _WORDLIKE.match(core):
+                        at.append(i)
+                        found.append((core.lower(), _core(tokens[k - 1]).lower() if k else "", _core(tokens[k + 1]).lower() if k + 1 < len(tokens) else ""))
+            cols = [pa.array([f[j] for f in found], pa.string()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([*b.select(["document_id", "line_no"]).take(pa.array(at, pa.int64())).columns, *cols], ["document_id", "line_no", "word", "left", "right"])
+
+    return rows.mapInArrow(run, "document_id string, line_no long, word string, left string, right string")
+
+
+def _beside(rows: DataFrame, pairs: set[tuple[str, str]]) -> DataFrame:
+    """(form, by, times): how often each wanted form stands beside each wanted neighbour in the lines."""
+    shared = rows.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for b in batches:
+            n: Counter = Counter()
+            for line in b.column("line").to_pylist():
+                t = [_core(x).lower() for x in line.split()]
+                n.update((y, "<" + x) for x, y in zip(t, t[1:]))
+                n.update((x, ">" + y) for x, y in zip(t, t[1:]))
+            kept = [(k, v) for k, v in n.items() if k in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in kept], pa.string()), pa.array([k[1] for k, _ in kept], pa.string()), pa.array([v for _, v in kept], pa.int64())], ["form", "by", "times"])
+
+    return rows.select("line").mapInArrow(run, "form string, by string, times long").groupBy("form", "by").agg(F.sum("times").alias("times"))
+
+
 def misread(body: DataFrame, halves: DataFrame, counts: DataFrame) -> DataFrame:
     """(document_id, line_no, word, form): misread words, each with the form it is read as."""
     doubtful = cut(suspects(counts))
-    bounded = doubtful.count() <= SMALL_ROWS
     ends = halves.select("document_id", "line_no", F.lit(True).alias("cut_end"))
     begins = halves.select("document_id", F.col("next_no").alias("line_no"), F.lit(True).alias("cut_begin"))
-    rows = body.join(ends, ["document_id", "line_no"], "left").join(begins, ["document_id", "line_no"], "left")
-    tokens = rows.select("document_id", "line_no", "cut_end", "cut_begin", F.split("line", r"\s+").alias("t"))
-    tokens = tokens.select("document_id", "line_no", "cut_end", "cut_begin", "t", F.posexplode("t").alias("at", "raw"))
-    whole = ~(F.coalesce("cut_end", F.lit(False)) & (F.col("at") == F.size("t") - 1)) & ~(F.coalesce("cut_begin", F.lit(False)) & (F.col("at") == 0))
-    plain = F.regexp_replace("raw", r"^[^\p{L}\p{N}@!|$]+|[^\p{L}\p{N}@!|$]+$", "")
-    single = tokens.where(whole & plain.rlike(WORDLIKE)).select(
-        "document_id", "line_no", bare(F.col("raw")).alias("word"), bare(F.get("t", F.col("at") - 1)).alias("left"), bare(F.get("t", F.col("at") + 1)).alias("right"), F.lit(None).cast("long").alias("next_no"), F.lit(None).cast("int").alias("first")
-    )
+    rows = cut(body.join(ends, ["document_id", "line_no"], "left").join(begins, ["document_id", "line_no"], "left"))
+    single = None
+    for part in _slices_of(doubtful.select("word"), "word"):
+        some = _occurrences(rows, {r.word for r in part.collect()})
+        single = some if single is None else single.unionByName(some)
+    single = single.withColumns({"next_no": F.lit(None).cast("long"), "first": F.lit(None).cast("int")})
     glued = halves.where("split").select(
         "document_id", "line_no", bare(F.concat("a", "b")).alias("word"), F.lit("").alias("left"), F.lit("").alias("right"), "next_no", F.length("a").alias("first")
     )
-    some = F.broadcast(doubtful) if bounded else doubtful
-    found = cut(single.unionByName(glued).join(some, "word"))
-    # how often each neighbour stands beside each form in the scanned texts
-    wanted = found.select(F.explode("forms.form").alias("form")).distinct()
-    near = tokens.select(bare(F.col("raw")).alias("form"), bare(F.get("t", F.col("at") - 1)).alias("l"), bare(F.get("t", F.col("at") + 1)).alias("r"))
-    near = near.join(F.broadcast(wanted) if bounded else wanted, "form")
-    beside = near.select("form", F.explode(F.array(F.concat(F.lit("<"), "l"), F.concat(F.lit(">"), "r"))).alias("by")).where(F.length("by") > 1).groupBy("form", "by").agg(F.count(F.lit(1)).alias("times"))
+    found = cut(single.unionByName(glued).join(doubtful, "word"))
     each = found.withColumn("f", F.explode("forms")).select("*", F.col("f.form").alias("form"), F.col("f.n_form").alias("n_form"), F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right"))).alias("by"))
+    # how often each neighbour stands beside each form in the scanned texts
+    asked = cut(each.where(F.length("by") > 1).select("form", "by").distinct())
+    beside = None
+    for part in _slices_of(asked, "by"):
+        some = _beside(rows, {(r.form, r.by) for r in part.collect()})
+        beside = some if beside is None else beside.unionByName(some)
     scored = each.join(beside, ["form", "by"], "left").groupBy("document_id", "line_no", "word", "next_no", "first", "n", "form", "n_form").agg(F.sum(F.coalesce("times", F.lit(0))).alias("support"))
     best = scored.groupBy("document_id", "line_no", "word", "next_no", "first", "n").agg(F.max(F.struct("support", "n_form", "form")).alias("b"))
     sure = (F.col("b.support") >= 2) | (F.col("b.n_form") >= FAR_RATIO * F.col("n"))
