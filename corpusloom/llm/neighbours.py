@@ -11,6 +11,8 @@ along the graph: the best nodes not yet opened are joined with the graph, round
 
 Within the joins a vector is its direction in half precision; exact cosines use doubles.
 
+Bounds: the forest is fitted on at most SAMPLE vectors, and every vector is indexed.
+
 Defined results: a vector that is null, of another length, not finite or all zero is left out, as
 are nodes without id; equal ids are one; ties go to the smaller id; a collection of fewer than k + 1
 vectors gives each all the others; an empty table gives no rows.
@@ -39,6 +41,10 @@ TASK_ROWS = 40_000
 BLOCK = 8_192
 ROUNDS = 4
 SETTLED = 0.02
+BEAM = 64
+ENTRIES = 8
+DOOR_TREES = 2
+SEARCH_ROUNDS = 12
 
 
 def usable(df: DataFrame, vector: str, dim: int = DIM) -> DataFrame:
@@ -390,6 +396,114 @@ def neighbours(df: DataFrame, vector: str = "embedding", id_: str = "dense_id",
     return both.select("id", F.posexplode(others).alias("rank", "e")).select("id", F.col("e.ids").alias("neighbour"), F.col("e.sims").alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
 
+def _scores(dim: int):
+    """(query_id, node, q, half) -> (query_id, node, sim)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                a, x = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32) for c in ("q", "half"))
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("node"), pa.array(np.einsum("ij,ij->i", a, x))], ["query_id", "node", "sim"])
+
+    return run
+
+
+def _doors(dim: int, entries: int):
+    """The ``entries`` nodes of a leaf nearest to each query in it."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, x = (np.frombuffer(b"".join(t.column("half").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32) for t in (left, right))
+        who, ids = left.column("query_id").to_numpy(), right.column("node").to_numpy()
+        a, b = [], []
+        for i in range(0, len(q), 256):
+            if len(x):
+                top = _best(q[i : i + 256] @ x.T, min(entries, len(x)))
+                a.append(np.repeat(who[i : i + 256], top.shape[1]))
+                b.append(ids[top].ravel())
+        return pa.table({"query_id": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "node": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})
+
+    return run
+
+
+def search(points: DataFrame, g: DataFrame, forest: Forest, queries: DataFrame, dim: int = DIM, k: int = K, beam: int = BEAM, entries: int = ENTRIES, most_rounds: int = SEARCH_ROUNDS) -> DataFrame:
+    """(query_id, ids, sims): the k + 1 ids most similar to each of ``queries(query_id, raw)``, by greedy search along the graph.
+
+    A query enters at the nearest nodes of its leaves. In each round its best nodes not yet opened, among the
+    ``beam`` best so far, are joined with the graph, and their neighbours are scored; it ends when all of the beam are opened.
+    """
+    trees = min(DOOR_TREES, len(forest.trees))
+
+    def leaves(name: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    half = _halves(b.column("raw").to_pylist(), dim)
+                    for t in range(trees):
+                        leaf = pa.array(forest.leaf(t, half.astype(np.float32)))
+                        yield pa.RecordBatch.from_arrays([b.column(name), pa.array([h.tobytes() for h in half], pa.binary()), pa.array(np.full(len(half), t, np.int32)), leaf], [name, "half", "tree", "leaf"])
+
+        return run
+
+    asked = cut(queries.select("query_id", "raw").mapInArrow(leaves("query_id"), "query_id long, half binary, tree int, leaf long"))
+    q = asked.where("tree = 0").select("query_id", F.col("half").alias("q"))
+    there = points.select("node", "raw").mapInArrow(leaves("node"), "node long, half binary, tree int, leaf long")
+    parts = cut(there.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).alias("parts")))
+    salted = there.join(F.broadcast(parts), ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")))  # a row a leaf, of at most SAMPLE leaves
+    spread = asked.join(F.broadcast(parts), ["tree", "leaf"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    keys = ["tree", "leaf", "salt"]
+    spread = spread.select("query_id", "half", *keys).toDF("query_id", "half", *keys)  # names of their own on either side
+    salted = salted.select("node", "half", *keys).toDF("node", "half", *keys)
+    fresh = spread.groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInArrow(_doors(dim, entries), "query_id long, node long").distinct()
+    halves = cut(points.select("node", "raw").mapInArrow(_to_half(dim), "node long, half binary"))
+    links = g.select("node", "nb").mapInArrow(_links, "node long, next long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "node")
+    seen = None
+    for _ in range(most_rounds):
+        scored = fresh.join(halves, "node").join(q, "query_id").mapInArrow(_scores(dim), "query_id long, node long, sim float").withColumn("opened", F.lit(False))
+        seen = cut(scored if seen is None else seen.unionByName(scored))
+        ranked_ = seen.withColumn("r", F.row_number().over(best))
+        front = ranked_.where((F.col("r") <= beam) & ~F.col("opened"))
+        opened = cut(front.select("query_id", "node"))
+        if opened.isEmpty():
+            break
+        seen = seen.join(opened.withColumn("now", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "sim", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
+        fresh = opened.join(links, "node").select("query_id", F.col("next").alias("node")).distinct().join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")
+    near = seen.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).select("query_id", "node")
+    full = near.join(points, "node").join(queries.select("query_id", F.col("raw").alias("asked")), "query_id")
+    return full.groupBy("query_id").applyInArrow(_rank_query(dim, k), "query_id long, ids array<long>, sims array<double>")
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = [np.frombuffer(x, np.int64) for x in b.column("nb").to_pylist()]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), n)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], ["node", "next"])
+
+
+def _rank_query(dim: int, k: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        x = _doubles(t.column("raw").to_pylist(), dim)
+        a = _doubles([t.column("asked")[0].as_py()], dim)[0]
+        s, firsts = np.round(x @ a, 9), t.column("first").to_pylist()
+        flat = np.array([y for f in firsts for y in f], np.int64)
+        value = np.repeat(s, [len(f) for f in firsts])
+        top = np.lexsort((flat, -value))[: k + 1]
+        return pa.table({"query_id": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([flat[top].tolist()], pa.list_(pa.int64())), "sims": pa.array([value[top].tolist()], pa.list_(pa.float64()))})
+
+    return run
+
+
+def searched(df: DataFrame, asked: DataFrame, vector: str = "embedding", id_: str = "dense_id", dim: int = DIM, k: int = K) -> DataFrame:
+    """(query_id, neighbour, similarity, rank) for ``asked(id_, vector)`` against all of ``df``; a query's own id is left out."""
+    _, points = nodes(df, vector, id_, dim)
+    g, forest = graph(points, dim)
+    rows = usable(asked, vector, dim).where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    queries = cut(rows.mapInArrow(_pack_vectors(dim), "id long, digest binary, raw binary").groupBy(F.col("id").alias("query_id")).agg(F.min("raw").alias("raw")))
+    best = search(points, g, forest, queries, dim, k).select("query_id", F.arrays_zip("ids", "sims").alias("z"))
+    others = F.slice(F.filter("z", lambda e: e["ids"] != F.col("query_id")), 1, k)
+    return best.select("query_id", F.posexplode(others).alias("rank", "e")).select("query_id", F.col("e.ids").alias("neighbour"), F.col("e.sims").alias("similarity"), (F.col("rank") + 1).alias("rank"))
+
+
 def mutual_pairs(near: DataFrame) -> DataFrame:
     """(dense_id_a, dense_id_b), a < b, of which one at least is among the nearest of the other."""
     return near.select(F.least("id", "neighbour").alias("dense_id_a"), F.greatest("id", "neighbour").alias("dense_id_b")).distinct()

@@ -27,6 +27,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.mutual_pairs(neighbours.neighbours(vectors(spark, sf_dir)))
 
 
+def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose dense_id is divisible by 20, against all vectors, by greedy graph search."""
+    every = vectors(spark, sf_dir)
+    return neighbours.searched(every, every.where(F.col("dense_id") % 20 == 0))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.direct_pairs(*chosen_path.join(table(spark, sf_dir, "corpus_document")))
 
@@ -77,6 +83,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p1_search": p1_search,
         "p2_found": p2_found,
         "p2_classes": p2_classes,
         "p3_found": p3_found,
