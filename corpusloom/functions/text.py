@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -34,16 +35,22 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
-def _repaired(text: str) -> str:
-    """UTF-8 that was read as a one-byte code page, read again; other text stays."""
-    if "Ã" not in text and "â" not in text and "Â" not in text:
-        return text
+#: A run that one-byte decoding makes of a UTF-8 sequence: a lead byte's letter, then letters of trailing bytes.
+_MISREAD = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178]{1,3}")
+
+
+def _decoded(found: re.Match) -> str:
     for codec in ("cp1252", "latin-1"):
         try:
-            return text.encode(codec).decode("utf-8")
+            return found.group().encode(codec).decode("utf-8")
         except UnicodeError:
             continue
-    return text
+    return found.group()
+
+
+def _repaired(text: str) -> str:
+    """UTF-8 that was read as a one-byte code page, read again; other text stays."""
+    return text if text.isascii() else _MISREAD.sub(_decoded, text)
 
 
 @F.pandas_udf(T.StringType())

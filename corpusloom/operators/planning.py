@@ -94,9 +94,11 @@ def profile_plan(by_source: DataFrame, profiles: DataFrame, rate: float = 100.0,
 
 def reachable(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(url, depth): pages reached from the seeds, each at its least number of steps; one join a step."""
-    seen = seeds.select("url", F.lit(0).alias("depth"))
+    step = links.select(F.col("source").alias("url"), F.col("target").alias("next"))
+    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     edge = seen
     for k in range(1, depth + 1):
-        edge = edge.join(links, edge.url == links.source).select(links.target.alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(k))
+        ahead = edge.select("url").join(step, "url").select(F.col("next").alias("url")).distinct()
+        edge = cut(ahead.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(edge)
     return seen
