@@ -41,7 +41,7 @@ TASK_ROWS = 40_000
 BLOCK = 8_192
 ROUNDS = 4
 SETTLED = 0.02
-BEAM = 64
+BEAM = 32
 ENTRIES = 8
 DOOR_TREES = 2
 SEARCH_ROUNDS = 12
@@ -456,19 +456,17 @@ def search(points: DataFrame, g: DataFrame, forest: Forest, queries: DataFrame,
     fresh = spread.groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInArrow(_doors(dim, entries), "query_id long, node long").distinct()
     halves = cut(points.select("node", "raw").mapInArrow(_to_half(dim), "node long, half binary"))
     links = g.select("node", "nb").mapInArrow(_links, "node long, next long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "node")
-    seen = None
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "node"))
+    near = None
     for _ in range(most_rounds):
         scored = fresh.join(halves, "node").join(q, "query_id").mapInArrow(_scores(dim), "query_id long, node long, sim float").withColumn("opened", F.lit(False))
-        seen = cut(scored if seen is None else seen.unionByName(scored))
-        ranked_ = seen.withColumn("r", F.row_number().over(best))
-        front = ranked_.where((F.col("r") <= beam) & ~F.col("opened"))
-        opened = cut(front.select("query_id", "node"))
-        if opened.isEmpty():
+        near = cut((scored if near is None else near.unionByName(scored)).withColumn("r", best).where(F.col("r") <= beam).drop("r"))
+        front = near.where("not opened").select("query_id", "node")
+        if front.isEmpty():
             break
-        seen = seen.join(opened.withColumn("now", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "sim", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        fresh = opened.join(links, "node").select("query_id", F.col("next").alias("node")).distinct().join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")
-    near = seen.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).select("query_id", "node")
+        fresh = front.join(links, "node").select("query_id", F.col("next").alias("node")).distinct().join(near.select("query_id", "node"), ["query_id", "node"], "left_anti")
+        near = near.withColumn("opened", F.lit(True))
+    near = near.select("query_id", "node")
     full = near.join(points, "node").join(queries.select("query_id", F.col("raw").alias("asked")), "query_id")
     return full.groupBy("query_id").applyInArrow(_rank_query(dim, k), "query_id long, ids array<long>, sims array<double>")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from . import chosen_path, encoding, leakage, neighbours, packing, reading_level, scans, splitting, subjects
 from .common import latest
 
@@ -29,7 +29,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every vector whose dense_id is divisible by 20, against all vectors, by greedy graph search."""
-    every = vectors(spark, sf_dir)
+    every = cut(vectors(spark, sf_dir))
     return neighbours.searched(every, every.where(F.col("dense_id") % 20 == 0))
 
 

@@ -146,17 +146,17 @@ def kinds(every: DataFrame) -> DataFrame:
         & ~line.rlike(r"[0-9]\.[0-9]")
         & (words <= 10)
     )
-    rows = cut(rows.select("document_id", "titled", "line_no", "line", "width", paged.alias("paged"), opening.alias("opening"), (fit & ~paged & ~opening).alias("fit")))
+    part = F.trim(F.regexp_replace(_head_shape(F.regexp_replace(F.regexp_replace(line, r"\s+[—–|]\s.*$", ""), r"(?i),?\s*v[o0]l\W*\s*[0-9ivxlc]+\W*$", "")), r"^# | #$", ""))
+    titled = F.col("titled")
+    is_title = F.when(fit, (F.length(titled) >= 4) & (F.levenshtein(part, titled) <= F.greatest(F.lit(1), F.floor(F.length(titled) * 0.12))))
+    short = F.length(line) <= 0.75 * F.col("width")
+    rows = cut(rows.select("document_id", "line_no", "line", short.alias("short"), paged.alias("paged"), opening.alias("opening"), (fit & ~paged & ~opening).alias("fit"), is_title.alias("is_title")))
 
     # few lines have the look of a head; only they are compared
     some = rows.where("fit").withColumn("shape", _head_shape(line))
-    part = F.trim(F.regexp_replace(_head_shape(F.regexp_replace(F.regexp_replace(line, r"\s+[—–|]\s.*$", ""), r"(?i),?\s*v[o0]l\W*\s*[0-9ivxlc]+\W*$", "")), r"^# | #$", ""))
-    titled = F.col("titled")
-    is_title = (F.length(titled) >= 4) & (F.levenshtein(part, titled) <= F.greatest(F.lit(1), F.floor(F.length(titled) * 0.12)))
-    some = some.withColumn("is_title", is_title).withColumn("within", F.count(F.lit(1)).over(Window.partitionBy("document_id", "shape")))
+    some = some.withColumn("within", F.count(F.lit(1)).over(Window.partitionBy("document_id", "shape")))
     marked = F.col("shape").contains("#") | upper | line.rlike(r"^\[.*\]$")
-    short = F.length(line) <= 0.75 * F.col("width")
-    some = some.withColumn("maybe", short & (words <= 8) & (marked | (F.col("within") >= 2)))
+    some = some.withColumn("maybe", F.col("short") & (words <= 8) & (marked | (F.col("within") >= 2)))
     some = cut(some.select("document_id", "line_no", "within", "maybe", "is_title", F.regexp_replace("shape", "^(?:ehap # )|^# | #$", "").alias("core")))  # core: the section's name, however it is set
     shared = some.where("maybe").groupBy("core").agg(F.count_distinct("document_id").alias("texts")).where(F.col("texts") >= HEAD_TEXTS).select("core", F.lit(True).alias("known"))
     head = F.col("is_title") | (F.col("maybe") & (F.coalesce("known", F.lit(False)) | (F.col("within") >= 2)))
