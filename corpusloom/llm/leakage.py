@@ -34,6 +34,7 @@ RARE = 0.02
 RUN = 4
 TAIL = 60
 SPAN = 48
+STRETCH = 64
 BLOCK_WORDS = 2_000_000
 LANES = 2048
 #: The spellings of a PubMed id.
@@ -235,13 +236,21 @@ def passage_text(title: str, section: str) -> F.Column:
 
 
 def in_order(chunks: DataFrame) -> DataFrame:
-    """(document_id, text, before): the latest row of each chunk with the text of the chunk before it in its document."""
+    """(document_id, text, before): the latest row of each chunk with the text of the chunk before it in its document.
+
+    A document is taken in stretches of STRETCH ordinals, each with the last chunk of the stretch before, so that no
+    document, however long, is one task's.
+    """
     rows = chunks.where(F.col("document_id").isNotNull() & F.col("text").isNotNull()).select("document_id", "chunk_id", "ordinal", "written_at", passage_text("title", "section").alias("text"))
-    last = Window.partitionBy("document_id", "chunk_id").orderBy(F.col("written_at").desc_nulls_last())
-    order = Window.partitionBy("document_id").orderBy(F.col("ordinal").asc_nulls_last(), "chunk_id")
+    stretch = F.floor(F.coalesce("ordinal", F.lit(0)) / STRETCH)
+    ends = F.col("ordinal") % STRETCH == STRETCH - 1
+    places = F.when(ends, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
+    rows = rows.withColumn("own", stretch).withColumn("stretch", F.explode(places)).repartition("document_id", "stretch")
+    last = Window.partitionBy("document_id", "stretch", "chunk_id").orderBy(F.col("written_at").desc_nulls_last())
+    order = Window.partitionBy("document_id", "stretch").orderBy(F.col("ordinal").asc_nulls_last(), "chunk_id")
     tail = F.substring(F.lag("text").over(order), -TAIL * 12, TAIL * 12)
-    one = rows.repartition("document_id").withColumn("k", F.row_number().over(last)).where("k = 1")
-    return one.select("document_id", "text", F.coalesce(tail, F.lit("")).alias("before"))
+    one = rows.withColumn("k", F.row_number().over(last)).where("k = 1")
+    return one.withColumn("before", F.coalesce(tail, F.lit(""))).where("own = stretch").select("document_id", "text", "before")
 
 
 def _blocks(items: DataFrame) -> list[list[tuple[str, str]]]:

@@ -168,3 +168,15 @@ def test_section_heads_recur_over_texts(spark):
 def test_no_scans_no_defects(spark):
     df = run(spark, [("o", "x", "5\nThe mernbrane", "obo")])
     assert S.defects(df).count() == 0 and S.defects(df.limit(0)).count() == 0 and S.reflow(df.limit(0)).count() == 0
+
+
+def test_a_long_document_is_read_over_its_stretches(spark):
+    rng = random.Random(5)
+    held = passage(rng)
+    w = held.split()
+    rows = [(f"c{i}", "d", i, "t", None, passage(rng, 12), None, None) for i in range(1, 200)]
+    rows[L.STRETCH - 2] = ("a", "d", L.STRETCH - 1, "t", None, passage(rng, 10) + " " + " ".join(w[:12]), None, None)
+    rows[L.STRETCH - 1] = ("b", "d", L.STRETCH, "t", None, " ".join(w[12:24]) + " " + passage(rng, 10), None, None)
+    items = spark.createDataFrame([("9", held, None, None)], ITEMS)
+    assert [tuple(r) for r in L.by_text(spark.createDataFrame(rows, CHUNKS), items).distinct().collect()] == [("d", "9")]
+    assert L.in_order(spark.createDataFrame(rows, CHUNKS)).count() == 199
