@@ -41,6 +41,7 @@ TASK_ROWS = 40_000
 BLOCK = 8_192
 ROUNDS = 4
 SETTLED = 0.02
+SPARE = 4
 BEAM = 32
 ENTRIES = 8
 DOOR_TREES = 2
@@ -321,8 +322,9 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
     listed = made.groupBy("node").agg(F.collect_list("nb").alias("nbs"), F.collect_list("sim").alias("sims"), F.max("home").alias("home"))
     g = cut(listed.withColumn("old", F.lit(None).cast("binary")).mapInArrow(_merge_lists(keep), merged))
     for _ in range(rounds):
-        near = _pairs_of(g).join(g.select("node", "nb"), "node").select("home", F.lit(1).alias("kind"), "node", F.col("nb").alias("load"))
-        inner = g.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"))
+        active = g.where("changed > 0")  # all in the first round, then those with new neighbours
+        near = _pairs_of(active).join(g.select("node", "nb"), "node").select("home", F.lit(1).alias("kind"), "node", F.col("nb").alias("load"))
+        inner = active.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"))
         lists = cut(inner.unionByName(near))
         reach = lists.groupBy("home").applyInArrow(_both, "home long, node long")
         worst = g.select("node", F.col("sim"))
@@ -380,6 +382,7 @@ def _rank(dim: int, k: int):
 
 def ranked(points: DataFrame, g: DataFrame, dim: int = DIM, k: int = K) -> DataFrame:
     """(node, ids, sims): the k + 1 ids most similar to a node, of equal vectors too, on exact cosines."""
+    g = g.select("home", "node", F.substring("nb", 1, 8 * (k + SPARE)).alias("nb"))  # lists are best first
     own = g.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"), F.lit(None).cast("array<long>").alias("first"))
     need = _pairs_of(g).unionByName(g.select("home", "node")).distinct()
     held = need.join(points.select("node", "raw", "first"), "node").select("home", F.lit(2).alias("kind"), "node", F.col("raw").alias("load"), "first")
