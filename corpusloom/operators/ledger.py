@@ -72,3 +72,15 @@ def stage_signature(size: Column, changed: Column, revision: str, **settings: ob
     """Change token of a stage's input: the file's own token and the settings that shape its output."""
     extra = "".join(f":{k}{v}" for k, v in settings.items())
     return F.concat(size.cast("string"), F.lit(":"), micros(changed).cast("string"), F.lit(f":{revision}{extra}"))
+
+
+def enrich(documents: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Documents with what the manifest knows of their file: license and address where it has them, and acquisition,
+    the rest as JSON without nulls. A file is known by its path, or by the path its error text says it was normalized to."""
+    moved = F.nullif(F.regexp_extract("error", r"normalized to (\S+)", 1), F.lit(""))
+    keyed = manifest.withColumn("path_key", F.explode(F.array_compact(F.array("local_path", moved))))
+    last = keyed.groupBy("path_key").agg(F.max_by(F.struct("url", "metadata", "status", "sha256", "actual_bytes", "updated_at"), "updated_at").alias("m"))
+    own = F.get_json_object("m.metadata", "$.license_id")
+    acquired = F.to_json(F.struct(F.col("m.status").alias("status"), F.col("m.sha256").alias("sha256"), F.col("m.actual_bytes").alias("bytes"), F.get_json_object("m.metadata", "$.license_state").alias("license_state")))
+    rows = documents.withColumn("_url", F.col("url")).withColumn("_license", F.col("license_id")).drop("url", "license_id").join(last, F.col("source_path") == F.col("path_key"), "left")
+    return rows.withColumn("url", F.coalesce("_url", "m.url")).withColumn("license_id", F.coalesce(own, "_license")).withColumn("acquisition", F.when(F.col("m").isNotNull(), acquired)).drop("_url", "_license", "path_key", "m")

@@ -24,7 +24,7 @@ def segments(df: DataFrame, scope: list[str], order: list[str], most: int) -> Da
     """(scope, segment, original_start, rows): row-capped splits and where each begins."""
     at = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
     numbered = df.select(*scope, at.alias("_at")).withColumn("segment", F.floor((F.col("_at") - 1) / most))
-    return numbered.groupBy(*scope, "segment").agg((F.min("_at") - 1).alias("original_start"), F.count(F.lit(1)).alias("rows"))
+    return numbered.groupBy(*scope, "segment").agg((F.min("_at") - 1).cast("long").alias("original_start"), F.count(F.lit(1)).alias("rows"))
 
 
 def next_fit(df: DataFrame, scope: list[str], order: list[str], size: str, most: int) -> DataFrame:

@@ -126,8 +126,8 @@ class Pipeline:
         retrieval.lengths(chunks).write.mode("overwrite").parquet(f"{self.tables}/lengths")
         return self._table("postings")
 
-    def search(self, queries: list[str], top_k: int = 10, candidates: int = 50, mode: str = "hybrid", encode: Callable | None = None) -> DataFrame:
-        """(query_id, rank, chunk and scores) for each query by ``bm25``, ``dense`` or ``hybrid``."""
+    def search(self, queries: list[str], top_k: int = 10, candidates: int = 50, mode: str = "hybrid", encode: Callable | None = None, sources: list[str] | None = None) -> DataFrame:
+        """(query_id, rank, chunk and scores) for each query by ``bm25``, ``dense`` or ``hybrid``; only chunks of ``sources`` where given."""
         if mode not in ("bm25", "dense", "hybrid"):
             raise ValueError(f"unknown mode: {mode}")
         make = encode or hash_encoder(self.settings.dimensions)
@@ -139,7 +139,8 @@ class Pipeline:
         near = retrieval.dense(with_vectors, self._table("embeddings").where(F.exists("embedding", lambda x: x != 0)), candidates)
         none = lambda df, c: df.limit(0).select("query_id", "chunk_id", c)
         fused = retrieval.fuse(none(near, "dense_rank") if mode == "bm25" else near, none(sparse, "sparse_rank") if mode == "dense" else sparse, top_k)
-        return fused.join(self._table("chunks"), "chunk_id")
+        chunks = self._table("chunks")
+        return fused.join(chunks.where(F.col("source_id").isin(sources)) if sources else chunks, "chunk_id")
 
     def status(self) -> DataFrame:
         """(source_id, documents, chunks, embedded)."""

@@ -247,6 +247,14 @@ def jn_records(spark, d):
     return docs(spark, d).join(per, "document_id", "left").groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"), F.count("chunks").alias("chunked"))
 
 
+@query(f"""WITH {DOC}, k AS (SELECT unnest(list_distinct(list_filter([local_path, nullif(regexp_extract(error, 'normalized to (\\S+)', 1), '')], lambda x: x IS NOT NULL))) AS path_key, * FROM manifest_file WHERE updated_at IS NOT NULL),
+m AS (SELECT path_key, arg_max(struct_pack(u := url, md := metadata, s := status), updated_at) AS r FROM k GROUP BY 1)
+SELECT document_id, coalesce(doc.url, m.r.u) AS url, coalesce(json_extract_string(m.r.md, '$.license_id'), doc.license_id) AS license_id, m.r.s AS status FROM doc LEFT JOIN m ON source_path = path_key""")
+def prj_enrich(spark, d):
+    out = ledger.enrich(docs(spark, d), table(spark, d, "manifest_file").where("updated_at is not null"))
+    return out.select("document_id", "url", "license_id", F.get_json_object("acquisition", "$.status").alias("status"))
+
+
 # ---------------------------------------------------------------- aggregates
 
 
@@ -322,6 +330,16 @@ def agg_existing_bytes(spark, d):
     return m.groupBy(F.split("local_path", "/")[0].alias("root")).agg(F.sum("actual_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
+@query("""SELECT decision, count(*) AS records, round(sum(list_sum(list_transform(curation.review_chain, lambda r: r.confidence))), 6) AS confidence, sum(len(curation.review_chain))::BIGINT AS steps
+FROM (SELECT curation.decision AS decision, curation FROM curation_smoke WHERE curation IS NOT NULL) GROUP BY 1""")
+def agg_trace(spark, d):
+    c = table(spark, d, "curation_smoke").where("curation is not null")
+    chain = F.col("curation.review_chain")
+    total = F.aggregate(F.filter(chain["confidence"], lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
+    per = c.select(F.col("curation.decision").alias("decision"), F.when(F.size(chain) > 0, total).alias("s"), F.when(chain.isNotNull(), F.size(chain)).alias("n"))
+    return per.groupBy("decision").agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("s"), 6).alias("confidence"), F.sum("n").alias("steps"))
+
+
 @query(f"WITH {DOC} SELECT source_path, bit_xor(('0x' || substr(sha256(document_id || chr(0) || coalesce(text, '')), 1, 15))::BIGINT) AS digest, count(*) AS documents FROM doc GROUP BY 1")
 def agg_digest(spark, d):
     """An order-free digest of each input file: the exclusive or of its rows' digests."""
@@ -457,6 +475,20 @@ def win_trace_upsert(spark, d):
     return ledger.last_wins(c, ["record_id"], "judged_at").select("record_id", "judge", "judged_at")
 
 
+_SQUEEZE = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({LINES.format("regexp_replace({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g')")}, '[ \t]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{{{{3,}}}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
+
+
+@query(f"WITH {DOC} SELECT document_id, md5({_SQUEEZE.format('text')}) AS text_md5, length({_SQUEEZE.format('text')}) AS chars FROM doc WHERE text IS NOT NULL")
+def txt_squeeze(spark, d):
+    clean = tx.squeeze(F.col("text"))
+    return docs(spark, d).where("text is not null").select("document_id", F.md5(clean).alias("text_md5"), F.length(clean).cast("long").alias("chars"))
+
+
+@query(f"WITH {DOC} SELECT document_id, md5(replace({_SQUEEZE.format('text')}, 'µ', 'μ')) AS text_md5 FROM doc WHERE text IS NOT NULL")
+def txt_clean_structured(spark, d):
+    return cleaning.clean_structured(docs(spark, d).where("text is not null").select("document_id", "text")).select("document_id", F.md5("text").alias("text_md5"))
+
+
 # ---------------------------------------------------------------- sections and chunks
 
 _SECT = rf"""raw AS (SELECT document_id, title, string_split(regexp_replace({LINES.format('text')}, '(?m)^##\s+(.+?)\s*$', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM doc WHERE text IS NOT NULL),

@@ -203,3 +203,13 @@ def test_breadth_first_links(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "source string, target string")
     got = planning.reachable(links, spark.createDataFrame([("a",)], "url string"), 3)
     assert {r.url: r.depth for r in got.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
+def test_enrich_from_the_last_row_of_a_file(spark):
+    m = "local_path string, url string, metadata string, status string, sha256 string, actual_bytes long, error string, updated_at timestamp"
+    rows = [("f", "u1", '{"license_id": "CC0", "license_state": "ok"}', "complete", "ab", 5, "normalized to g", None), ("h", "u2", "{}", "failed", None, None, None, None)]
+    manifest = spark.createDataFrame(rows, m).withColumn("updated_at", F.lit("2025-01-01").cast("timestamp"))
+    docs = spark.createDataFrame([("1", "f", None, "L"), ("2", "g", "own", None), ("3", "h", None, "L"), ("4", "x", None, None)], "document_id string, source_path string, url string, license_id string")
+    got = {r.document_id: (r.url, r.license_id, r.acquisition) for r in ledger.enrich(docs, manifest).collect()}
+    full = '{"status":"complete","sha256":"ab","bytes":5,"license_state":"ok"}'
+    assert got == {"1": ("u1", "CC0", full), "2": ("own", "CC0", full), "3": ("u2", "L", '{"status":"failed"}'), "4": (None, None, None)}

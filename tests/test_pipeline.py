@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from corpusloom.__main__ import main
 from corpusloom.plans.pipeline import Pipeline, Settings
 from corpusloom.streaming import runs
 
@@ -56,3 +57,8 @@ def test_end_to_end(spark, tmp_path):
     assert p.search(["kinase k3"], mode="bm25").where("rank = 1").first().sparse_rank == 1
     assert {r.source_id: r.documents for r in p.status().collect()} == {"go": 3, "pm": 6}
     assert all(r.chunks == r.embedded for r in p.status().collect())
+    args = ["--root", str(raw), "--tables", str(tmp_path / "tables"), "--registry", str(tmp_path / "s.toml")]
+    main(["search", *args, "--query", "kinase k2", "--source", "pm", "--top-k", "2"], spark)
+    main(["run", *args], spark)
+    assert {r.source_id: r.documents for r in p.status().collect()} == {"go": 3, "pm": 6}
+    assert p.search(["kinase k3"], sources=["go"]).where("source_id <> 'go'").count() == 0
