@@ -1,6 +1,6 @@
 """Problem 5: passages of held-out items inside the texts of the corpus.
 
-Item passages and texts are read as words, in lower case and without outer punctuation. Every run of
+Item passages and texts are read as words of letters and digits, in lower case. Every run of
 four words of a passage is a pattern. Texts are searched for all patterns at once by the method of
 Wu and Manber over words: a table over blocks of two words tells how far the window may jump, a block
 that ends a pattern leads to the bucket of patterns with that end, and those are compared. Many
@@ -18,7 +18,9 @@ words match nothing; passages under fifteen words match nothing; a document and
 
 from __future__ import annotations
 
+import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +41,22 @@ BLOCK_WORDS = 2_000_000
 LANES = 2048
 #: The spellings of a PubMed id.
 PUBMED = r"^\s*(?:(?:pmid|pubmed|medline)\s*(?:id)?\s*[:#=/]?\s*|https?://pubmed\.ncbi\.nlm\.nih\.gov/|https?://(?:www\.)?ncbi\.nlm\.nih\.gov/pubmed/)?0*([1-9][0-9]{0,8})(?:\.[0-9]{1,2})?(?:\.n?xml)?/?\s*$"
-_EDGE = re.compile(r"^\W+|\W+$")
+_INNER = re.compile(r"[\W_]+")
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,40}>")
+_MARKS = re.compile("[\u0300-\u036f]")
 
 
 def words(text: str) -> list[str]:
-    """Words split at white space, lower-cased, without punctuation at either end; pure punctuation is no word."""
-    out = []
-    for w in text.lower().split():
-        if not w.isalnum():
-            w = _EDGE.sub("", w)
-        if w:
-            out.append(w)
-    return out
+    """Words split at white space, lower-cased, letters and digits only, so that no layout matters: tags, entities, marks
+    over letters and punctuation outside or within a word are gone; pure punctuation is no word."""
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    text = text.lower()
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    return [w if w.isalnum() else x for w in text.split() if w.isalnum() or (x := _INNER.sub("", w))]
 
 
 class Patterns:
