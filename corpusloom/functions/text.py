@@ -48,7 +48,7 @@ def _decoded(found: re.Match) -> str:
     return found.group()
 
 
-def _repaired(text: str) -> str:
+def repaired(text: str) -> str:
     """UTF-8 that was read as a one-byte code page, read again; other text stays."""
     return text if text.isascii() else _MISREAD.sub(_decoded, text)
 
@@ -56,7 +56,7 @@ def _repaired(text: str) -> str:
 @F.pandas_udf(T.StringType())
 def repair(s: pd.Series) -> pd.Series:
     """Entities resolved, mis-decoded UTF-8 repaired, compatibility characters folded (NFKC)."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", _repaired(html.unescape(x))))
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", repaired(html.unescape(x))))
 
 
 @F.pandas_udf(T.StringType())
