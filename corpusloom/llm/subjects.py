@@ -17,6 +17,7 @@ a known one among them) give no row; a repeated doc_id gives the rows of each of
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import repaired
 from .common import slices
 
 BUCKETS = 1 << 13
@@ -49,8 +51,10 @@ _MARKS = re.compile("[̀-ͯ]")
 
 
 def fold(text: str) -> str:
-    text = text.lower()
-    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    """Lower case, entities and mis-decoded letters put right, marks over letters off."""
+    if "&" in text:
+        text = html.unescape(text)
+    return text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", repaired(text).lower()))
 
 
 def sentences(text: str) -> list[list[str]]:
