@@ -33,7 +33,8 @@ def cut(df: DataFrame) -> DataFrame:
     Survives the loss of executors, unlike a checkpoint kept on their disks.
     """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 
