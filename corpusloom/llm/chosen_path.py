@@ -6,8 +6,8 @@ hash functions: its sampled tokens. A run splits all classes by the value of one
 picked by the run, and splits each bucket that is still large by positions picked by the bucket's
 own path, level by level, so that sets alike at the threshold keep together with fair chance.
 Small buckets are compared by brute force, first on 128-bit sketches, and runs are repeated until
-the target recall. The pairs left are decided on the exact sets. A bucket still large at the last
-level, thus many different sets all alike, is compared whole too, in blocks.
+the target recall. The pairs left are decided on the exact sets. A bucket that a level hardly makes
+smaller, or that is large at the last level, holds many different sets all alike and is compared whole, in blocks.
 
 Defined results: null title and null text count as empty; records with fewer than ``least``
 sequences take no part; of a repeated document_id the latest row counts; rows without document_id
@@ -35,6 +35,7 @@ LEAST = 20
 MINIMA = 64
 BUCKET = 64
 DEPTH = 5
+STUCK = 0.5
 RECALL = 0.999
 BROADCAST_IDS = 200_000
 _WORDS = re.compile("[a-z0-9]+")
@@ -136,11 +137,13 @@ def _split(threshold: float, runs: int | None):
             low = np.frombuffer(b"".join(b.column("low").to_pylist()), np.uint32).reshape(-1, MINIMA)
             if runs is None:
                 row, key = _deeper(b.column("key").to_numpy().astype(np.uint64), low, threshold)
+                up = b.column("size").take(pa.array(row))
             else:
                 parts = [_deeper(np.full(len(low), mix(np.array([r + 1], np.uint64))[0]), low, threshold) for r in range(runs)]
                 row, key = (np.concatenate(x) for x in zip(*parts))
+                up = pa.nulls(len(row), pa.int64())
             took = b.select(["id", "s1", "s2"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(key.astype(np.int64))], ["id", "s1", "s2", "key"])
+            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(key.astype(np.int64)), up], ["id", "s1", "s2", "key", "up"])
 
     return run
 
@@ -154,25 +157,32 @@ def _near(a: str, b: str, least: int) -> F.Column:
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of ``classes(id, low, s1, s2)`` that share a bucket and whose sketches agree."""
-    schema = "id long, s1 long, s2 long, key long"
+    schema = "id long, s1 long, s2 long, key long, up long"
     runs = runs_needed(threshold, depth, recall)
     least = agreeing(threshold)
     live = classes.mapInArrow(_split(threshold, runs), schema)
-    small = []
+    small, whole = [], []
     for level in range(1, depth + 1):
         counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
         counted = cut(live.join(counts, "key"))
         small.append(counted.where(F.col("size") <= bucket).select("key", "id", "s1", "s2"))
+        # a bucket that its level hardly made smaller holds sets all alike: further levels would only multiply it
+        stuck = F.coalesce(F.col("size") >= STUCK * F.col("up"), F.lit(False)) if level < depth else F.lit(True)
         large = counted.where(F.col("size") > bucket)
+        whole.append(large.where(stuck).select("key", "id", "s1", "s2", "size"))
+        large = large.where(~stuck)
         if level == depth or large.isEmpty():
             break
-        live = large.select("key", "id").join(classes, "id").mapInArrow(_split(threshold, None), schema)
+        live = large.select("key", "id", "size").join(classes, "id").mapInArrow(_split(threshold, None), schema)
     rows = small[0]
     for more in small[1:]:
         rows = rows.unionByName(more)
     met = (F.col("a.id") < F.col("b.id")) & _near("a", "b", least)
     pick = [F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")]
     found = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & met).select(*pick)
+    large = whole[0]
+    for more in whole[1:]:
+        large = large.unionByName(more)
     if not large.isEmpty():  # whole large buckets in blocks: block i meets block j once, for each i <= j
         n = F.ceil(F.col("size") / bucket).cast("long")
         mine = F.pmod(F.xxhash64("id"), n)
