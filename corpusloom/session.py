@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the number tasks are sized by."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give every Python worker this package, once an application, wherever the job was started from."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="corpusloom-")  # of the driver, which serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "corpusloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
