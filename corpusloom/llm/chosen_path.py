@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 from .common import WordIds, latest, mix, slices
 
 THRESHOLD = 0.6
@@ -164,7 +164,7 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, bucket: int = B
     small, whole = [], []
     for level in range(1, depth + 1):
         counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-        counted = cut(live.join(counts, "key"))
+        counted = written(live.join(counts, "key"))
         small.append(counted.where(F.col("size") <= bucket).select("key", "id", "s1", "s2"))
         # a bucket that its level hardly made smaller holds sets all alike: further levels would only multiply it
         stuck = F.coalesce(F.col("size") >= STUCK * F.col("up"), F.lit(False)) if level < depth else F.lit(True)
