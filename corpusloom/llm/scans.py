@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 from .common import latest, slices
 
 LEAST_FORM = 5
@@ -150,7 +150,7 @@ def kinds(every: DataFrame) -> DataFrame:
     titled = F.col("titled")
     is_title = F.when(fit, (F.length(titled) >= 4) & (F.levenshtein(part, titled) <= F.greatest(F.lit(1), F.floor(F.length(titled) * 0.12))))
     short = F.length(line) <= 0.75 * F.col("width")
-    rows = cut(rows.select("document_id", "line_no", "line", short.alias("short"), paged.alias("paged"), opening.alias("opening"), (fit & ~paged & ~opening).alias("fit"), is_title.alias("is_title")))
+    rows = written(rows.select("document_id", "line_no", "line", short.alias("short"), paged.alias("paged"), opening.alias("opening"), (fit & ~paged & ~opening).alias("fit"), is_title.alias("is_title")))
 
     # few lines have the look of a head; only they are compared
     some = rows.where("fit").withColumn("shape", _head_shape(line))
@@ -163,7 +163,7 @@ def kinds(every: DataFrame) -> DataFrame:
     heads = some.join(shared, "core", "left").where(head).select("document_id", "line_no", F.lit(True).alias("head"))
     rows = rows.join(heads, ["document_id", "line_no"], "left")
     kind = F.when(F.col("opening"), "open").when(line == "", "blank").when(F.col("paged"), "page_number").when(F.col("head"), "running_head").otherwise("body")
-    return cut(rows.select("document_id", "line_no", "line", kind.alias("kind")))
+    return written(rows.select("document_id", "line_no", "line", kind.alias("kind")))
 
 
 def hyphened(body: DataFrame, counts: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def misread(body: DataFrame, halves: DataFrame, counts: DataFrame) -> DataFrame:
     doubtful = cut(suspects(counts))
     ends = halves.select("document_id", "line_no", F.lit(True).alias("cut_end"))
     begins = halves.select("document_id", F.col("next_no").alias("line_no"), F.lit(True).alias("cut_begin"))
-    rows = cut(body.join(ends, ["document_id", "line_no"], "left").join(begins, ["document_id", "line_no"], "left"))
+    rows = written(body.join(ends, ["document_id", "line_no"], "left").join(begins, ["document_id", "line_no"], "left"))
     single = None
     for part in _slices_of(doubtful.select("word"), "word"):
         some = _occurrences(rows, {r.word for r in part.collect()})
