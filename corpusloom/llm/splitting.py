@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 from .common import latest, lists, slices
 
 LIMIT = 510
@@ -80,7 +80,7 @@ def cuts(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFra
     scanned = cut(latest(scanned, "document_id", "stamp").where(F.col("total") > 0).select("document_id", "total", "ends"))  # boundaries are shuffled, not texts
     each = scanned.select("document_id", "total", F.explode("ends").alias("at"))
     reach = Window.partitionBy("document_id").orderBy("at").rangeBetween(0, limit - overlap)
-    step = cut(each.withColumn("next", F.max("at").over(reach)))
+    step = written(each.withColumn("next", F.max("at").over(reach)))
     hop = step.where(F.col("next") > F.col("at")).select("document_id", "at", "next")
     reached = step.where(F.col("at") == overlap).select("document_id", F.lit(overlap).alias("at"))
     size = 0
