@@ -194,6 +194,19 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, bucket: int = B
     return found.distinct()
 
 
+def _agreeing(threshold: float):
+    """Pairs whose minima agree often enough, 3.5 deviations under what a pair at the threshold agrees in."""
+    least = MINIMA * threshold - 3.5 * math.sqrt(MINIMA * threshold * (1 - threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint32).reshape(-1, MINIMA) for x in ("low_a", "low_b"))
+                yield b.select(["id_a", "id_b"]).filter(pa.array((a == c).sum(axis=1) >= least))
+
+    return run
+
+
 def _exact(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,7 +229,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, buck
     members = chosen.select("document_id", "id")
     first = F.first(F.struct("low", "s1", "s2")).alias("r")  # alike in all members
     classes = cut(chosen.groupBy("id").agg(first, F.min("document_id").alias("document_id")).select("id", "document_id", "r.*"))
-    pairs = cut(candidates(classes.select("id", "low", "s1", "s2"), threshold, bucket, depth, recall))
+    pairs = candidates(classes.select("id", "low", "s1", "s2"), threshold, bucket, depth, recall)
+    for side in ("a", "b"):  # the whole minima decide which sets are worth fetching
+        pairs = pairs.join(classes.select(F.col("id").alias(f"id_{side}"), F.col("low").alias(f"low_{side}")), f"id_{side}")
+    pairs = cut(pairs.mapInArrow(_agreeing(threshold), "id_a long, id_b long"))
     wanted = cut(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().join(classes.select("id", "document_id"), "id"))
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
