@@ -1,15 +1,17 @@
 """Problem 1: the most similar vectors for every vector, by NN-descent.
 
-Equal vectors form one node, so a hot group of copies costs one. A forest of random-projection
+Vectors of equal direction form one node, so a hot group of copies, scaled or not, costs one. A forest of random-projection
 trees, fitted on a bounded sample and applied to every node, deals the nodes into leaves; the
 nodes of a leaf are compared with one another and give the first neighbour graph. Then the graph
 is joined with itself: for each block of nodes, the lists of their neighbours, then the vectors of
 all neighbours of neighbours, are brought in by two Spark joins, and every better neighbour found
-goes into the lists of both its ends. This repeats until few lists change. Last, the candidates in
-the lists are ranked on exact cosines. ``search`` answers other queries by greedy search
-along the graph: the best nodes not yet opened are joined with the graph, round by round.
+goes into the lists of both its ends. This repeats until few lists change. ``search`` answers other
+queries by greedy search along the graph: the best nodes not yet opened are joined with the graph,
+round by round.
 
-Within the joins a vector is its direction in half precision; exact cosines use doubles.
+Every comparison is of the exact cosine, in doubles and rounded to nine decimals, which lists hold as
+whole billionths; equal ones go by the smaller id, in lists and among candidates too. So the members
+of a dense group are told apart, and what a list holds needs no ranking again.
 
 Bounds: the forest is fitted on at most SAMPLE vectors, and every vector is indexed.
 
@@ -33,15 +35,16 @@ from ..session import cut
 
 DIM = 64
 K = 10
-LIST = 16
+LIST = 32
 TREES = 4
 LEAF = 1536
 SAMPLE = 16_384
 TASK_ROWS = 40_000
 BLOCK = 8_192
 ROUNDS = 4
-SETTLED = 0.02
-SPARE = 4
+SETTLED = 0.01
+UNIT = 1_000_000_000  # a cosine is held in billionths
+NONE = -2_000_000_000  # below any cosine
 BEAM = 32
 ENTRIES = 8
 DOOR_TREES = 2
@@ -56,30 +59,39 @@ def usable(df: DataFrame, vector: str, dim: int = DIM) -> DataFrame:
 
 
 def _pack_vectors(dim: int):
-    """(id, v) -> (id, digest, raw): float32 bytes, and 128 bits that stand for them where only equality counts."""
+    """(id, v) -> (id, digest, raw): float32 bytes, and 128 bits that stand for their direction where only equality counts.
+
+    Quotients of float32 numbers are equal in doubles only where they are equal, so scaled copies have one digest, others don't.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0)  # -0 as 0
-            raw = [r.tobytes() for r in flat.reshape(-1, dim)]
-            digest = [xxhash.xxh3_128_digest(r) for r in raw]
+            rows = flat.reshape(-1, dim)
+            raw = [r.tobytes() for r in rows]
+            digest = [xxhash.xxh3_128_digest(r.tobytes()) for r in _shares(rows)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], ["id", "digest", "raw"])
 
     return run
 
 
+def _shares(v: np.ndarray) -> np.ndarray:
+    """Rows as shares of their largest number, so that no square over- or underflows."""
+    v = v.astype(np.float64)
+    return v / np.abs(v).max(axis=1, keepdims=True) if len(v) else v
+
+
 def _doubles(raw: list[bytes], dim: int) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim).astype(np.float64)
-    v /= np.abs(v).max(axis=1, keepdims=True)  # so that no square over- or underflows
+    v = _shares(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim))
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _halves(raw: list[bytes], dim: int) -> np.ndarray:
-    return _doubles(raw, dim).astype(np.float16)
+def _billionths(cosines: np.ndarray) -> np.ndarray:
+    return np.rint(cosines * UNIT)
 
 
 def nodes(df: DataFrame, vector: str, id_: str, dim: int = DIM) -> tuple[DataFrame, DataFrame]:
-    """Members (id, node) and nodes (node, raw, first): a node is the least id of a set of equal vectors, ``first`` its K + 1 least ids."""
+    """Members (id, node) and nodes (node, raw, first): a node is the least id of a set of vectors of equal direction, ``first`` its K + 1 least ids."""
     rows = usable(df, vector, dim).where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
     packed = cut(rows.mapInArrow(_pack_vectors(dim), "id long, digest binary, raw binary"))
     one = packed.groupBy("id").agg(F.min("digest").alias("digest"))
@@ -113,7 +125,7 @@ class Forest:
                     todo += [(rows[~right], at, 0, depth + 1), (rows[right], at, 1, depth + 1)]
                 if parent >= 0:
                     kids[parent][side] = at
-            self.trees.append((np.array(planes, np.float32), np.array(kids, np.int64)))
+            self.trees.append((np.array(planes, np.float64), np.array(kids, np.int64)))
 
     def leaves(self, tree: int) -> int:
         return len(self.trees[tree][0]) + 1
@@ -124,7 +136,7 @@ class Forest:
         best, even = None, 0.02
         for _ in range(tries):
             a, b = rng.choice(len(x), 2, replace=False)
-            plane = (x[a] - x[b]).astype(np.float32)
+            plane = x[a] - x[b]
             share = float((x @ plane > 0).mean())
             if min(share, 1 - share) > even:
                 best, even = plane, min(share, 1 - share)
@@ -158,14 +170,18 @@ def _local_leaves(x: np.ndarray, most: int, rng: np.random.Generator) -> list[np
 
 
 def _best(scores: np.ndarray, keep: int) -> np.ndarray:
-    """Columns of the ``keep`` highest scores of each row, in no order."""
-    return np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if scores.shape[1] > keep else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    """Columns of the ``keep`` highest scores, in billionths, of each row, in no order; of equal ones the first columns."""
+    wide = scores.shape[1]
+    if wide <= keep:
+        return np.broadcast_to(np.arange(wide), scores.shape)
+    power = 1 << 21  # score and column together are below 2 ** 53, thus exact
+    return np.argpartition(np.arange(wide) - scores * power, keep - 1, axis=1)[:, :keep]
 
 
 def _first_lists(dim: int, keep: int, leaf: int, together: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         ids = t.column("node").to_numpy()
-        x = np.frombuffer(b"".join(t.column("half").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+        x = _doubles(t.column("raw").to_pylist(), dim)
         order = np.argsort(ids)  # the result doesn't depend on the order rows arrive in
         ids, x = ids[order], x[order]
         tree, group, salt = (k.as_py() for k in key)
@@ -176,15 +192,15 @@ def _first_lists(dim: int, keep: int, leaf: int, together: int):
             part = n // max(1, BLOCK // leaf) if len(ids) > BLOCK else 0
             block = ((group // together) << 40) + (salt << 16) + part
             for a in range(0, len(rows), 512):
-                s = local[a : a + 512] @ local.T
-                s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
+                s = _billionths(local[a : a + 512] @ local.T)
+                s[np.arange(len(s)), np.arange(a, a + len(s))] = NONE
                 top = _best(s, min(keep, max(1, len(rows) - 1)))
                 val = np.take_along_axis(s, top, 1)
                 for i in range(len(s)):
-                    ok = val[i] > -2
+                    ok = val[i] > NONE
                     who.append(own[a + i])
                     nb.append(own[top[i][ok]])
-                    sims.append(val[i][ok].astype(np.float16))
+                    sims.append(val[i][ok].astype(np.int32))
                 home.append(np.full(len(s), block))
         return pa.table(
             {
@@ -206,7 +222,7 @@ def _merge_lists(keep: int):
             nb_out, sim_out, changed = [], [], []
             for nb, sim, old in zip(b.column("nbs").to_pylist(), b.column("sims").to_pylist(), b.column("old").to_pylist()):
                 ids = np.frombuffer(b"".join(nb), np.int64)
-                s = np.frombuffer(b"".join(sim), np.float16)
+                s = np.frombuffer(b"".join(sim), np.int32)
                 ids, first = np.unique(ids, return_index=True)
                 s = s[first]
                 top = np.lexsort((ids, -s))[:keep]
@@ -249,10 +265,12 @@ def _descend(dim: int, keep: int):
         at = np.flatnonzero(kind == 2)
         at = at[np.argsort(node[at])]
         ids = node[at]
-        raw = np.frombuffer(b"".join(load[i] for i in at), np.float16).reshape(len(at), dim + 1)
-        x, worst = raw[:, :dim].astype(np.float32), raw[:, dim].astype(np.float32)
+        size = 4 * dim
+        x = _doubles([load[i][:size] for i in at], dim)
+        worst = np.frombuffer(b"".join(load[i][size : size + 4] for i in at), np.int32)
+        last = np.frombuffer(b"".join(load[i][size + 4 :] for i in at), np.int64)
         who, nb, sims = [], [], []
-        back: list[np.ndarray] = []
+        back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for u, mine in own.items():
             near = [lists[v] for v in mine.tolist() if v in lists]
             if not near:
@@ -261,40 +279,39 @@ def _descend(dim: int, keep: int):
             if not len(cand):
                 continue
             j, i = np.searchsorted(ids, cand), int(np.searchsorted(ids, u))
-            s = x[j] @ x[i]
-            good = s > worst[i]
+            s = _billionths(x[j] @ x[i]).astype(np.int32)
+            good = (s > worst[i]) | ((s == worst[i]) & (cand < last[i]))
             if good.any():
                 take = np.flatnonzero(good)
-                if len(take) > keep:
-                    take = take[np.argpartition(-s[take], keep - 1)[:keep]]
+                take = take[np.argsort(-s[take], kind="stable")[:keep]]  # candidates are in order of id
                 who.append(u)
                 nb.append(cand[take].tobytes())
-                sims.append(s[take].astype(np.float16).tobytes())
-            good = s > worst[j]
+                sims.append(s[take].tobytes())
+            good = (s > worst[j]) | ((s == worst[j]) & (u < last[j]))
             if good.any():
-                back.append(np.stack([cand[good].astype(np.float64), np.full(int(good.sum()), float(u)), s[good].astype(np.float64)]))
+                back.append((cand[good], np.full(int(good.sum()), u, np.int64), s[good]))
         if back:  # the other ends, a list for each
-            found = np.concatenate(back, 1)
-            order = np.argsort(found[0], kind="stable")
-            to, frm, val = found[0][order].astype(np.int64), found[1][order].astype(np.int64), found[2][order]
-            starts = np.flatnonzero(np.diff(to, prepend=-1))
+            to, frm, val = (np.concatenate(c) for c in zip(*back))
+            order = np.lexsort((frm, -val, to))
+            to, frm, val = to[order], frm[order], val[order]
+            starts = np.flatnonzero(np.diff(to, prepend=to[0] - 1))
             for a, b in zip(starts, np.append(starts[1:], len(to))):
-                take = slice(a, b) if b - a <= keep else a + np.argpartition(-val[a:b], keep - 1)[:keep]
+                take = slice(a, min(b, a + keep))
                 who.append(int(to[a]))
                 nb.append(frm[take].tobytes())
-                sims.append(val[take].astype(np.float16).tobytes())
+                sims.append(val[take].tobytes())
         return pa.table({"node": pa.array(who, pa.int64()), "nb": pa.array(nb, pa.binary()), "sim": pa.array(sims, pa.binary())})
 
     return run
 
 
 def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, settled: float = SETTLED) -> tuple[DataFrame, Forest]:
-    """(node, home, nb, sim, half): each node's ``keep`` neighbours as found by NN-descent, best first, with its block and direction."""
+    """(node, home, nb, sim, changed): each node's ``keep`` neighbours as found by NN-descent, best first, with its block."""
     count = points.count()
     share = min(1.0, 1.2 * SAMPLE / max(count, 1))
     by_hash = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)
     picked = points.where(by_hash).orderBy("node").limit(SAMPLE).select("raw").collect()
-    sample = _doubles([bytes(r.raw) for r in picked], dim).astype(np.float32) if picked else np.zeros((0, dim), np.float32)
+    sample = _doubles([bytes(r.raw) for r in picked], dim) if picked else np.zeros((0, dim))
     forest = Forest(sample, trees, max(8, math.ceil(leaf * len(sample) / max(count, 1))))
 
     together = max(1, BLOCK * forest.leaves(0) // max(count, 1))  # neighbouring leaves share a block
@@ -303,13 +320,11 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
         for b in batches:
             if not b.num_rows:
                 continue
-            half = _halves(b.column("raw").to_pylist(), dim)
-            x = half.astype(np.float32)
-            h = pa.array([r.tobytes() for r in half], pa.binary())
+            x = _doubles(b.column("raw").to_pylist(), dim)
             for tree in range(trees):
-                yield pa.RecordBatch.from_arrays([b.column("node"), h, pa.array(np.full(len(x), tree, np.int32)), pa.array(forest.leaf(tree, x))], ["node", "half", "tree", "leaf"])
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("raw"), pa.array(np.full(len(x), tree, np.int32)), pa.array(forest.leaf(tree, x))], ["node", "raw", "tree", "leaf"])
 
-    dealt = points.select("node", "raw").mapInArrow(deal, "node long, half binary, tree int, leaf long")
+    dealt = points.select("node", "raw").mapInArrow(deal, "node long, raw binary, tree int, leaf long")
     sizes = dealt.groupBy("tree", "leaf").count().where(F.col("count") > TASK_ROWS)
     wide = {(r.tree, r.leaf): -(-r["count"] // TASK_ROWS) for r in sizes.collect()}  # at most the forest's leaves
     salt = F.lit(0).cast("long")
@@ -318,7 +333,6 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
     made = dealt.withColumn("salt", salt).groupBy("tree", "leaf", "salt").applyInArrow(_first_lists(dim, keep, leaf, together), "node long, home long, nb binary, sim binary")
 
     merged = "node long, home long, nb binary, sim binary, changed int"
-    halves = points.select("node", "raw").mapInArrow(_to_half(dim), "node long, half binary")
     listed = made.groupBy("node").agg(F.collect_list("nb").alias("nbs"), F.collect_list("sim").alias("sims"), F.max("home").alias("home"))
     g = cut(listed.withColumn("old", F.lit(None).cast("binary")).mapInArrow(_merge_lists(keep), merged))
     for _ in range(rounds):
@@ -327,8 +341,9 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
         inner = active.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"))
         lists = cut(inner.unionByName(near))
         reach = lists.groupBy("home").applyInArrow(_both, "home long, node long")
-        worst = g.select("node", F.col("sim"))
-        vectors = halves.join(worst, "node").select("node", F.concat("half", F.when(F.length("sim") >= 2 * keep, F.substring("sim", -2, 2)).otherwise(F.lit(_LEAST_HALF))).alias("load"))
+        full = F.length("sim") >= 4 * keep  # what a candidate must surpass: the last entry of a full list
+        worst = g.select("node", F.when(full, F.concat(F.substring("sim", -4, 4), F.substring("nb", -8, 8))).otherwise(F.lit(_ANY)).alias("worst"))
+        vectors = points.select("node", "raw").join(worst, "node").select("node", F.concat("raw", "worst").alias("load"))
         far = reach.join(vectors, "node").select("home", F.lit(2).alias("kind"), "node", "load")
         better = lists.unionByName(far).groupBy("home").applyInArrow(_descend(dim, keep), "node long, nb binary, sim binary")
         joined = g.select("node", "home", "nb", "sim", F.col("nb").alias("old")).unionByName(better.select("node", F.lit(None).cast("long").alias("home"), "nb", "sim", F.lit(None).cast("binary").alias("old")))
@@ -339,74 +354,59 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
     return g, forest
 
 
-_LEAST_HALF = bytearray(np.array([-2], np.float16).tobytes())
+_ANY = bytearray(np.array([NONE], np.int32).tobytes() + np.array([0], np.int64).tobytes())
 
 
-def _to_half(dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in _halves(b.column("raw").to_pylist(), dim)], pa.binary())], ["node", "half"])
-
-    return run
-
-
-def _rank(dim: int, k: int):
-    """Exact cosines of the listed candidates: (node, ids, sims) of the k + 1 best ids, those of equal vectors among them."""
+def _rank(k: int):
+    """(node, ids, sims) of the k + 1 best ids of the whole list, those of equal direction among them."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         kind, node = t.column("kind").to_numpy(), t.column("node").to_numpy()
-        load, firsts = t.column("load").to_pylist(), t.column("first").to_pylist()
-        at = np.flatnonzero(kind == 2)
-        at = at[np.argsort(node[at])]
-        ids = node[at]
-        x = _doubles([load[i] for i in at], dim)
+        load, sim, firsts = t.column("load").to_pylist(), t.column("sim").to_pylist(), t.column("first").to_pylist()
+        first = {int(node[i]): firsts[i] for i in np.flatnonzero(kind == 2)}
         who, best, sims = [], [], []
         for i in np.flatnonzero(kind == 0):
             u = int(node[i])
-            cand = np.append(np.frombuffer(load[i], np.int64), u)
-            j = np.searchsorted(ids, cand)
-            s = np.round(x[j] @ x[np.searchsorted(ids, u)], 9)
-            s[-1] = 1.0
-            each = [firsts[at[m]] for m in j]
+            each = [first[v] for v in [*np.frombuffer(load[i], np.int64).tolist(), u]]
+            s = np.append(np.frombuffer(sim[i], np.int32), UNIT)
             flat = np.array([y for f in each for y in f], np.int64)
             value = np.repeat(s, [len(f) for f in each])
             top = np.lexsort((flat, -value))[: k + 1]
             who.append(u)
             best.append(flat[top].tolist())
-            sims.append(value[top].tolist())
+            sims.append((value[top] / UNIT).tolist())
         return pa.table({"node": pa.array(who, pa.int64()), "ids": pa.array(best, pa.list_(pa.int64())), "sims": pa.array(sims, pa.list_(pa.float64()))})
 
     return run
 
 
-def ranked(points: DataFrame, g: DataFrame, dim: int = DIM, k: int = K) -> DataFrame:
-    """(node, ids, sims): the k + 1 ids most similar to a node, of equal vectors too, on exact cosines."""
-    g = g.select("home", "node", F.substring("nb", 1, 8 * (k + SPARE)).alias("nb"))  # lists are best first
-    own = g.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"), F.lit(None).cast("array<long>").alias("first"))
+def ranked(points: DataFrame, g: DataFrame, k: int = K) -> DataFrame:
+    """(node, ids, sims): the k + 1 ids most similar to a node, of equal direction too, on exact cosines."""
+    none = F.lit(None)
+    own = g.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"), "sim", none.cast("array<long>").alias("first"))
     need = _pairs_of(g).unionByName(g.select("home", "node")).distinct()
-    held = need.join(points.select("node", "raw", "first"), "node").select("home", F.lit(2).alias("kind"), "node", F.col("raw").alias("load"), "first")
-    return own.unionByName(held).groupBy("home").applyInArrow(_rank(dim, k), "node long, ids array<long>, sims array<double>")
+    held = need.join(points.select("node", "first"), "node").select("home", F.lit(2).alias("kind"), "node", none.cast("binary").alias("load"), none.cast("binary").alias("sim"), "first")
+    return own.unionByName(held).groupBy("home").applyInArrow(_rank(k), "node long, ids array<long>, sims array<double>")
 
 
 def neighbours(df: DataFrame, vector: str = "embedding", id_: str = "dense_id", dim: int = DIM, k: int = K, **how) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar of every id."""
     members, points = nodes(df, vector, id_, dim)
     g, _ = graph(points, dim, **how)
-    best = ranked(points, g, dim, k)
+    best = ranked(points, g, k)
     both = members.join(best, "node").select("id", F.arrays_zip("ids", "sims").alias("z"))
     others = F.slice(F.filter("z", lambda e: e["ids"] != F.col("id")), 1, k)
     return both.select("id", F.posexplode(others).alias("rank", "e")).select("id", F.col("e.ids").alias("neighbour"), F.col("e.sims").alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
 
 def _scores(dim: int):
-    """(query_id, node, q, half) -> (query_id, node, sim)."""
+    """(query_id, node, q, raw) -> (query_id, node, sim), in billionths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                a, x = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32) for c in ("q", "half"))
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("node"), pa.array(np.einsum("ij,ij->i", a, x))], ["query_id", "node", "sim"])
+                a, x = (_doubles(b.column(c).to_pylist(), dim) for c in ("q", "raw"))
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("node"), pa.array(_billionths(np.einsum("ij,ij->i", a, x)).astype(np.int32))], ["query_id", "node", "sim"])
 
     return run
 
@@ -415,12 +415,14 @@ def _doors(dim: int, entries: int):
     """The ``entries`` nodes of a leaf nearest to each query in it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, x = (np.frombuffer(b"".join(t.column("half").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32) for t in (left, right))
+        q, x = (_doubles(t.column("raw").to_pylist(), dim) for t in (left, right))
         who, ids = left.column("query_id").to_numpy(), right.column("node").to_numpy()
+        order = np.argsort(ids)
+        ids, x = ids[order], x[order]
         a, b = [], []
         for i in range(0, len(q), 256):
             if len(x):
-                top = _best(q[i : i + 256] @ x.T, min(entries, len(x)))
+                top = _best(_billionths(q[i : i + 256] @ x.T), min(entries, len(x)))
                 a.append(np.repeat(who[i : i + 256], top.shape[1]))
                 b.append(ids[top].ravel())
         return pa.table({"query_id": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "node": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})
@@ -440,38 +442,36 @@ def search(points: DataFrame, g: DataFrame, forest: Forest, queries: DataFrame,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    half = _halves(b.column("raw").to_pylist(), dim)
+                    x = _doubles(b.column("raw").to_pylist(), dim)
                     for t in range(trees):
-                        leaf = pa.array(forest.leaf(t, half.astype(np.float32)))
-                        yield pa.RecordBatch.from_arrays([b.column(name), pa.array([h.tobytes() for h in half], pa.binary()), pa.array(np.full(len(half), t, np.int32)), leaf], [name, "half", "tree", "leaf"])
+                        yield pa.RecordBatch.from_arrays([b.column(name), b.column("raw"), pa.array(np.full(len(x), t, np.int32)), pa.array(forest.leaf(t, x))], [name, "raw", "tree", "leaf"])
 
         return run
 
-    asked = cut(queries.select("query_id", "raw").mapInArrow(leaves("query_id"), "query_id long, half binary, tree int, leaf long"))
-    q = asked.where("tree = 0").select("query_id", F.col("half").alias("q"))
-    there = points.select("node", "raw").mapInArrow(leaves("node"), "node long, half binary, tree int, leaf long")
+    asked = cut(queries.select("query_id", "raw").mapInArrow(leaves("query_id"), "query_id long, raw binary, tree int, leaf long"))
+    q = asked.where("tree = 0").select("query_id", F.col("raw").alias("q"))
+    there = points.select("node", "raw").mapInArrow(leaves("node"), "node long, raw binary, tree int, leaf long")
     parts = cut(there.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).alias("parts")))
     salted = there.join(F.broadcast(parts), ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")))  # a row a leaf, of at most SAMPLE leaves
     spread = asked.join(F.broadcast(parts), ["tree", "leaf"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     keys = ["tree", "leaf", "salt"]
-    spread = spread.select("query_id", "half", *keys).toDF("query_id", "half", *keys)  # names of their own on either side
-    salted = salted.select("node", "half", *keys).toDF("node", "half", *keys)
+    spread = spread.select("query_id", "raw", *keys).toDF("query_id", "raw", *keys)  # names of their own on either side
+    salted = salted.select("node", "raw", *keys).toDF("node", "raw", *keys)
     fresh = spread.groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInArrow(_doors(dim, entries), "query_id long, node long").distinct()
-    halves = cut(points.select("node", "raw").mapInArrow(_to_half(dim), "node long, half binary"))
+    vectors = points.select("node", "raw")
     links = g.select("node", "nb").mapInArrow(_links, "node long, next long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "node"))
     near = None
     for _ in range(most_rounds):
-        scored = fresh.join(halves, "node").join(q, "query_id").mapInArrow(_scores(dim), "query_id long, node long, sim float").withColumn("opened", F.lit(False))
+        scored = fresh.join(vectors, "node").join(q, "query_id").mapInArrow(_scores(dim), "query_id long, node long, sim int").withColumn("opened", F.lit(False))
         near = cut((scored if near is None else near.unionByName(scored)).withColumn("r", best).where(F.col("r") <= beam).drop("r"))
         front = near.where("not opened").select("query_id", "node")
         if front.isEmpty():
             break
         fresh = front.join(links, "node").select("query_id", F.col("next").alias("node")).distinct().join(near.select("query_id", "node"), ["query_id", "node"], "left_anti")
         near = near.withColumn("opened", F.lit(True))
-    near = near.select("query_id", "node")
-    full = near.join(points, "node").join(queries.select("query_id", F.col("raw").alias("asked")), "query_id")
-    return full.groupBy("query_id").applyInArrow(_rank_query(dim, k), "query_id long, ids array<long>, sims array<double>")
+    full = near.select("query_id", "node", "sim").join(points.select("node", "first"), "node")
+    return full.groupBy("query_id").applyInArrow(_rank_query(k), "query_id long, ids array<long>, sims array<double>")
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,15 +481,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), n)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], ["node", "next"])
 
 
-def _rank_query(dim: int, k: int):
+def _rank_query(k: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        x = _doubles(t.column("raw").to_pylist(), dim)
-        a = _doubles([t.column("asked")[0].as_py()], dim)[0]
-        s, firsts = np.round(x @ a, 9), t.column("first").to_pylist()
+        s, firsts = t.column("sim").to_numpy(), t.column("first").to_pylist()
         flat = np.array([y for f in firsts for y in f], np.int64)
         value = np.repeat(s, [len(f) for f in firsts])
         top = np.lexsort((flat, -value))[: k + 1]
-        return pa.table({"query_id": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([flat[top].tolist()], pa.list_(pa.int64())), "sims": pa.array([value[top].tolist()], pa.list_(pa.float64()))})
+        return pa.table({"query_id": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([flat[top].tolist()], pa.list_(pa.int64())), "sims": pa.array([(value[top] / UNIT).tolist()], pa.list_(pa.float64()))})
 
     return run
 

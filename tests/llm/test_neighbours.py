@@ -78,3 +78,30 @@ def test_forest_deals_every_vector_to_a_leaf():
         leaf = forest.leaf(t, x)
         assert leaf.min() >= 0 and leaf.max() < forest.leaves(t)
     assert (N.Forest(x[:0], 1, 8).leaf(0, x) == 0).all()
+
+
+def test_a_third_of_all_rows_within_cosine_999_of_one_another(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    centre *= 8 / np.linalg.norm(centre)
+    vectors = [centre + 0.03 * rng.normal(size=64) if i % 3 == 0 else rng.normal(size=64) for i in range(900)]
+    got = [r for r in N.neighbours(spark.createDataFrame(rows(vectors), SCHEMA), leaf=150).where("id % 3 = 0").collect()]
+    want = brute(vectors)
+    assert len(got) == 3000 and min(r.similarity for r in got) > 0.999
+    assert sum(r.neighbour in want[r.id] for r in got) / len(got) >= 0.97
+
+
+def test_scaled_copies_are_as_near_as_copies(spark):
+    rng = np.random.default_rng(9)
+    same = rng.normal(size=64).astype(np.float32)
+    exact = [same * np.float32(2.0 ** (i % 40 - 20)) for i in range(60)]
+    near = [same[::-1] * np.float32(1 + 0.37 * i) for i in range(200)]
+    vectors = exact + near + [rng.normal(size=64) for _ in range(100)]
+    df = spark.createDataFrame(rows(vectors), SCHEMA)
+    got = {}
+    for r in N.neighbours(df, leaf=50).collect():
+        got.setdefault(r.id, {})[r.rank] = r.neighbour
+    assert [got[59][k] for k in range(1, 11)] == list(range(10))
+    assert N.nodes(df.where("dense_id < 60"), "embedding", "dense_id")[1].count() == 1
+    want = brute(vectors)
+    assert all(set(got[i].values()) == want[i] for i in range(260))
