@@ -133,14 +133,16 @@ class Pipeline:
         make = encode or hash_encoder(self.settings.dimensions)
         ids = [f"q{k}" for k in range(len(queries))]
         asked = self.spark.createDataFrame(list(zip(ids, queries)), "query_id string, query string")
-        sparse = retrieval.bm25(asked, self._table("postings"), self._table("lengths"), candidates)
+        chunks = self._table("chunks")
+        only = chunks.where(F.col("source_id").isin(sources)).select("chunk_id") if sources else None  # before any cut to the best
+        sparse = retrieval.bm25(asked, self._table("postings"), self._table("lengths"), candidates, only=only)
         vectors = make([retrieval.QUERY_PREFIX + q for q in queries])
         with_vectors = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vectors)], "query_id string, embedding array<float>")
-        near = retrieval.dense(with_vectors, self._table("embeddings").where(F.exists("embedding", lambda x: x != 0)), candidates)
+        embedded = self._table("embeddings").where(F.exists("embedding", lambda x: x != 0))
+        near = retrieval.dense(with_vectors, embedded if only is None else embedded.join(only, "chunk_id", "left_semi"), candidates)
         none = lambda df, c: df.limit(0).select("query_id", "chunk_id", c)
         fused = retrieval.fuse(none(near, "dense_rank") if mode == "bm25" else near, none(sparse, "sparse_rank") if mode == "dense" else sparse, top_k)
-        chunks = self._table("chunks")
-        return fused.join(chunks.where(F.col("source_id").isin(sources)) if sources else chunks, "chunk_id")
+        return fused.join(chunks, "chunk_id")
 
     def status(self) -> DataFrame:
         """(source_id, documents, chunks, embedded)."""

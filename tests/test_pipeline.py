@@ -62,3 +62,22 @@ def test_end_to_end(spark, tmp_path):
     main(["run", *args], spark)
     assert {r.source_id: r.documents for r in p.status().collect()} == {"go": 3, "pm": 6}
     assert p.search(["kinase k3"], sources=["go"]).where("source_id <> 'go'").count() == 0
+
+
+def searchable(spark, tmp_path):
+    """A pipeline over 120 chunks of one source and 5 of another, embedded but not indexed."""
+    (tmp_path / "s.toml").write_text("".join(f'[[sources]]\nid="{s}"\nparser="pubmed_jsonl"\ncategory="literature"\npatterns=["*.jsonl"]\n' for s in ("big", "small")))
+    text = {"big": "kinase", "small": "kinase of a membrane channel gates the flow of ions"}
+    rows = [(f"{s}-{i:03}", s, "", "", f"{text[s]} {i}") for s, n in (("big", 120), ("small", 5)) for i in range(n)]
+    spark.createDataFrame(rows, "chunk_id string, source_id string, title string, section string, text string").write.parquet(str(tmp_path / "tables/chunks"))
+    p = Pipeline(spark, str(tmp_path), str(tmp_path / "tables"), str(tmp_path / "s.toml"))
+    p.embed()
+    return p
+
+
+def test_a_small_source_fills_top_k(spark, tmp_path):
+    p = searchable(spark, tmp_path)
+    p.index()
+    for mode in ("bm25", "dense", "hybrid"):
+        got = p.search(["kinase"], top_k=3, mode=mode, sources=["small"]).collect()
+        assert sorted((r["rank"], r.source_id) for r in got) == [(1, "small"), (2, "small"), (3, "small")]
