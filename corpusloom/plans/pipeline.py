@@ -127,7 +127,7 @@ class Pipeline:
         return self._table("postings")
 
     def search(self, queries: list[str], top_k: int = 10, candidates: int = 50, mode: str = "hybrid", encode: Callable | None = None, sources: list[str] | None = None) -> DataFrame:
-        """(query_id, rank, chunk and scores) for each query by ``bm25``, ``dense`` or ``hybrid``; only chunks of ``sources`` where given."""
+        """(query_id, rank, chunk and scores) for each query by ``bm25``, ``dense`` or ``hybrid``, of indexed chunks; only chunks of ``sources`` where given."""
         if mode not in ("bm25", "dense", "hybrid"):
             raise ValueError(f"unknown mode: {mode}")
         make = encode or hash_encoder(self.settings.dimensions)
@@ -138,7 +138,8 @@ class Pipeline:
         sparse = retrieval.bm25(asked, self._table("postings"), self._table("lengths"), candidates, only=only)
         vectors = make([retrieval.QUERY_PREFIX + q for q in queries])
         with_vectors = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vectors)], "query_id string, embedding array<float>")
-        embedded = self._table("embeddings").where(F.exists("embedding", lambda x: x != 0))
+        indexed = self._table("lengths").select("chunk_id")  # no held-out chunk is among them
+        embedded = self._table("embeddings").where(F.exists("embedding", lambda x: x != 0)).join(indexed, "chunk_id", "left_semi")
         near = retrieval.dense(with_vectors, embedded if only is None else embedded.join(only, "chunk_id", "left_semi"), candidates)
         none = lambda df, c: df.limit(0).select("query_id", "chunk_id", c)
         fused = retrieval.fuse(none(near, "dense_rank") if mode == "bm25" else near, none(sparse, "sparse_rank") if mode == "dense" else sparse, top_k)

@@ -81,3 +81,12 @@ def test_a_small_source_fills_top_k(spark, tmp_path):
     for mode in ("bm25", "dense", "hybrid"):
         got = p.search(["kinase"], top_k=3, mode=mode, sources=["small"]).collect()
         assert sorted((r["rank"], r.source_id) for r in got) == [(1, "small"), (2, "small"), (3, "small")]
+
+
+def test_a_held_out_source_never_comes_back(spark, tmp_path):
+    p = searchable(spark, tmp_path)
+    p.index(held_out=["small"])
+    for mode in ("bm25", "dense", "hybrid"):
+        got = p.search(["kinase of a membrane channel"], mode=mode).collect()
+        assert (len(got), [r.source_id for r in got if r.source_id == "small"]) == (10, [])
+    assert p.search(["kinase of a membrane channel"], sources=["small"]).count() == 0
