@@ -9,7 +9,8 @@ lost or added keeps at least one whole pattern and three near one diagonal; wher
 with a passage, the words around are aligned and the errors counted.
 
 A text is the chunks of a document in order; each chunk is searched with the end of the one before,
-what both share counted once, so a passage across a cut is whole. Items are searched in blocks of bounded
+what both share counted once, so a passage across a cut is whole. The title and section heading a
+chunk begins with are left out there, and searched with the start of the rest as a text of their own. Items are searched in blocks of bounded
 size, which are broadcast, so their number is free.
 
 Defined results: of repeated chunk rows the latest by written_at counts; null texts and items without
@@ -233,7 +234,7 @@ def joined(before: list[str], now: list[str]) -> list[str]:
 
 
 def passage_text(title: str, section: str) -> F.Column:
-    """The chunk's text without the title and the section heading it begins with."""
+    """The chunk's text without the title and the section heading it begins with; the rest of the text is what it begins with."""
     body = F.col("text")
     for c in (title, section):
         lead = F.coalesce(F.col(c), F.lit(""))
@@ -242,12 +243,13 @@ def passage_text(title: str, section: str) -> F.Column:
 
 
 def in_order(chunks: DataFrame) -> DataFrame:
-    """(document_id, text, before): the latest row of each chunk with the text of the chunk before it in its document.
+    """(document_id, text, before, lead): the latest row of each chunk, its title and section heading apart, with the text of the chunk before it in its document.
 
     A document is taken in stretches of STRETCH ordinals, each with the last chunk of the stretch before, so that no
     document, however long, is one task's.
     """
-    rows = chunks.where(F.col("document_id").isNotNull() & F.col("text").isNotNull()).select("document_id", "chunk_id", "ordinal", "written_at", passage_text("title", "section").alias("text"))
+    rows = chunks.where(F.col("document_id").isNotNull() & F.col("text").isNotNull()).select("document_id", "chunk_id", "ordinal", "written_at", F.col("text").alias("whole"), passage_text("title", "section").alias("text"))
+    rows = rows.withColumn("lead", F.substr("whole", F.lit(1), F.length("whole") - F.length("text"))).drop("whole")
     stretch = F.floor(F.coalesce("ordinal", F.lit(0)) / STRETCH)
     ends = F.col("ordinal") % STRETCH == STRETCH - 1
     places = F.when(ends, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
@@ -256,7 +258,7 @@ def in_order(chunks: DataFrame) -> DataFrame:
     order = Window.partitionBy("document_id", "stretch").orderBy(F.col("ordinal").asc_nulls_last(), "chunk_id")
     tail = F.substring(F.lag("text").over(order), -TAIL * 12, TAIL * 12)
     one = rows.withColumn("k", F.row_number().over(last)).where("k = 1")
-    return one.withColumn("before", F.coalesce(tail, F.lit(""))).where("own = stretch").select("document_id", "text", "before")
+    return one.withColumn("before", F.coalesce(tail, F.lit(""))).where("own = stretch").select("document_id", "text", "before", "lead")
 
 
 def _blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
@@ -285,11 +287,15 @@ def by_text(chunks: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tables = Patterns(shared.value)
             for b in slices(batches):
-                texts = []
-                for text, before in zip(b.column("text").to_pylist(), b.column("before").to_pylist()):
+                texts, heads, whose = [], [], []
+                for n, (text, before, lead) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "before", "lead")))):
                     w = words(text)
                     texts.append(joined(words(before)[-TAIL:], w) if before else w)
-                row, passage = tables.leaks(texts)
+                    if lead:
+                        heads.append(words(lead + text[: TAIL * 12]))
+                        whose.append(n)
+                row, passage = tables.leaks(texts + heads)
+                row = np.array([*range(len(texts)), *whose], np.int64)[row]
                 pmid = pa.array([tables.pmid[p] for p in passage.tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column("document_id").take(pa.array(row)), pmid], ["document_id", "pmid"])
 

@@ -104,6 +104,18 @@ def test_leaks_with_edits_and_across_chunks(spark):
     assert L.by_text(chunks.limit(0), items).count() == 0 and L.by_text(chunks, items.limit(0)).count() == 0
 
 
+def test_leaks_in_title_and_section(spark):
+    rng = random.Random(6)
+    held = [" ".join(passage(rng).split()[:16]) for _ in range(4)]
+    items = spark.createDataFrame([(str(i), None, [p], None) for i, p in enumerate(held)], ITEMS)
+    half = held[2].split()
+    heads = {"title": (held[0], "Part", ""), "section": ("A title", held[1], ""), "across": (" ".join(half[:6]), " ".join(half[6:9]), " ".join(half[9:])), "absent": ("A title", "Part", "")}
+    rows = [(f"{d}-{k}", d, k, t, s, f"{t}\n\n{s}\n\n{body if k == 1 else ''} {passage(rng, 100)}", datetime(2025, 1, 1), "p") for d, (t, s, body) in heads.items() for k in (0, 1)]
+    rows.append(("unsaid-0", "unsaid", 0, held[3], "Part", passage(rng, 100), datetime(2025, 1, 1), "p"))  # a title that isn't in the text
+    got = {(r.document_id, r.pmid) for r in L.by_text(spark.createDataFrame(rows, CHUNKS), items).distinct().collect()}
+    assert got == {("title", "0"), ("section", "1"), ("across", "2")}
+
+
 def test_search_equals_plain_comparison():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(30)]
