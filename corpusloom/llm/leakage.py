@@ -8,12 +8,17 @@ stretches of text are searched in step. A passage of fifteen words of which one
 lost or added keeps at least one whole pattern and three near one diagonal; where a text has those
 with a passage, the words around are aligned and the errors counted.
 
-A text is the chunks of a document in order; each chunk is searched with the end of the one before,
-what both share counted once, so a passage across a cut is whole. The title and section heading a
-chunk begins with are left out there, and searched with the start of the rest as a text of their own. Items are searched in blocks of bounded
-size, which are broadcast, so their number is free.
+A text is the chunks of a document in order; each chunk is searched with the last words of the text before
+it, over as many chunks as they come from, what both share counted once, so a passage across cuts is whole.
+Documents are dealt to tasks by ranges of document and ordinal, however long they are; where a document goes
+on in the next task, the words around that border are searched again as a text of their own. The title and
+section heading a chunk begins with are left out there, and searched with the start of the rest apart. Items
+are searched in blocks of bounded size, which are broadcast one at a time, so their number is free; a block
+changes nothing in what an item matches.
 
-Defined results: of repeated chunk rows the latest by written_at counts; null texts and items without
+Words that hold a digit (figures, codes) tell items apart: where over a third of a match's differ, only a set phrase is shared.
+
+Defined results: of repeated rows of a chunk the latest by written_at counts; null texts and items without
 words match nothing; passages under fifteen words match nothing; a document and an item come out once.
 """
 
@@ -22,22 +27,23 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, slots, written
 from .common import slices
 
 PASSAGE = 15
 ERRORS = 0.18
-RARE = 0.02
 RUN = 4
 TAIL = 60
 SPAN = 48
-STRETCH = 64
 BLOCK_WORDS = 2_000_000
 LANES = 2048
 #: The spellings of a PubMed id.
@@ -45,6 +51,7 @@ PUBMED = r"^\s*(?:(?:pmid|pubmed|medline)\s*(?:id)?\s*[:#=/]?\s*|https?://pubmed
 _INNER = re.compile(r"[\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,40}>")
 _MARKS = re.compile("[\u0300-\u036f]")
+_DIGIT = re.compile(r"\d")
 
 
 def words(text: str) -> list[str]:
@@ -74,9 +81,9 @@ class Patterns:
                 stream += [self.id.setdefault(x, len(self.id) + 1) for x in w] + [0] * SPAN  # 0 is no word of any passage
         self.stream = np.array(stream, np.int64)
         self.at = np.array(self.at, np.int64)
-        kept = np.unique(np.stack([np.searchsorted(self.at, np.flatnonzero(self.stream), "right"), self.stream[self.stream > 0]]), axis=1)
-        common = np.bincount(kept[1], minlength=len(self.id) + 1) > max(1, RARE * len(self.at))
-        self.rare = (self.stream > 0) & ~common[self.stream]  # words few passages have, thus not those of set phrases
+        figure = np.zeros(len(self.id) + 1, np.int64)
+        figure[[i for w, i in self.id.items() if _DIGIT.search(w)]] = 1
+        self.figure = figure[self.stream]  # words that hold a digit
         n = len(self.stream) - RUN + 1
         runs = np.stack([self.stream[k : k + max(n, 0)] for k in range(RUN)]) if n > 0 else np.zeros((RUN, 0), np.int64)
         start = np.flatnonzero((runs > 0).all(axis=0))
@@ -96,6 +103,16 @@ class Patterns:
         self.last = np.append(self.first[1:], len(order))
         self.bucket = self.end[self.first]
 
+    _held: tuple = (None, None)
+
+    @classmethod
+    def of(cls, shared) -> Patterns:
+        """Tables of a broadcast (key, passages), made once by each worker process."""
+        key, passages = shared.value
+        if cls._held[0] != key:
+            cls._held = (key, cls(passages))
+        return cls._held[1]
+
     def block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * 1_000_003 + b * 7_919) & self.mask
 
@@ -155,48 +172,44 @@ class Patterns:
         # one alignment for each stretch of SPAN / 2 words of a pair
         _, one = np.unique(np.stack([pair[seed], pos[seed] // (SPAN // 2), diagonal[seed] // 6]), axis=1, return_index=True)
         seed = seed[one]
+        keep = [self.likely(stream, pos[s], place[s]) for s in np.split(seed, range(8192, len(seed), 8192))]
+        seed = seed[np.concatenate(keep)]
         good = np.zeros(len(seed), bool)
-        for a in range(0, len(seed), 4096):
-            s = a + np.flatnonzero(self.likely(stream, pos[seed[a : a + 4096]], place[seed[a : a + 4096]]))
-            good[s] = self.aligned(stream, pos[seed[s]], place[seed[s]])
+        for a in range(0, len(seed), 8192):
+            s = seed[a : a + 8192]
+            good[a : a + 8192] = self.aligned(stream, pos[s], place[s])
         got = np.unique(np.stack([row[seed[good]], passage[seed[good]]]), axis=1)
         return got[0], got[1]
 
     def likely(self, stream: np.ndarray, pos: np.ndarray, place: np.ndarray, reach: int = 6) -> np.ndarray:
-        """What an alignment needs at least: PASSAGE words in a row of the passage of which all but three, a rare one among
-        them, stand within ``reach`` words of their place on the diagonal."""
+        """What an alignment needs at least: PASSAGE words in a row of the passage of which all but three stand within
+        ``reach`` words of their place on the diagonal."""
         half = SPAN // 2
         item = _window(self.stream, place - half, SPAN + RUN)
         text = _window(stream, pos - half - reach, SPAN + RUN + 2 * reach)
         there = np.zeros(item.shape, bool)
         for k in range(2 * reach + 1):
             there |= item == text[:, k : k + SPAN + RUN]
-        there &= item > 0
-        rare = there & (_window(self.rare.astype(np.int64), place - half, SPAN + RUN) == 1)
-
-        def within(x: np.ndarray) -> np.ndarray:
-            total = np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1)
-            return total[:, PASSAGE:] - total[:, :-PASSAGE]
-
-        return ((within(there) >= PASSAGE - 3) & (within(rare) >= 1)).any(axis=1)
+        total = np.cumsum(np.pad(there & (item > 0), ((0, 0), (1, 0))), axis=1)
+        return (total[:, PASSAGE:] - total[:, :-PASSAGE] >= PASSAGE - 3).any(axis=1)
 
     def aligned(self, stream: np.ndarray, pos: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Whether the words around a common pattern align over at least PASSAGE words of the passage with few errors.
 
         Local alignment, a row of the passage at a time for all cases together, that carries how much of the
-        passage an alignment spans, its errors, and its rare words, found and missed. Where most rare
-        words are missed, only a set phrase is shared, filled with other names and numbers.
+        passage an alignment spans, its errors, and its figures, all and missed. Where over a third of the
+        figures are missed, only a set phrase is shared, filled with others.
         """
         n, half = len(pos), SPAN // 2
         band = 2 * 8 + 1
-        item, rare = _window(self.stream, place - half, SPAN + RUN), _window(self.rare.astype(np.int64), place - half, SPAN + RUN) == 1
+        item, figure = _window(self.stream, place - half, SPAN + RUN), _window(self.figure, place - half, SPAN + RUN) == 1
         text = _window(stream, pos - half - 8, SPAN + RUN + band)
         zero = np.zeros((n, band + 2), np.int32)
-        above = [zero] * 5  # score, words spanned, errors, rare words, rare words missed
+        above = [zero] * 5  # score, words spanned, errors, figures, figures missed
         done = np.zeros(n, bool)
         for i in range(SPAN + RUN):
             row = [zero.copy() for _ in above]
-            word, odd = item[:, i], rare[:, i].astype(np.int32)
+            word, odd = item[:, i], figure[:, i].astype(np.int32)
             real = word > 0
             for j in range(1, band + 1):
                 same = (word == text[:, i + j - 1]) & real
@@ -214,7 +227,7 @@ class Patterns:
                 for x, y in zip(row, best):
                     x[:, j] = np.where(keep, y, 0)
                 _, span, bad, odds, missed = best
-                done |= same & keep & (span >= PASSAGE) & (bad <= ERRORS * span) & (2 * missed <= odds) & (odds > 0)
+                done |= same & keep & (span >= PASSAGE) & (bad <= ERRORS * span) & (3 * missed <= odds)
             above = row
         return done
 
@@ -243,63 +256,116 @@ def passage_text(title: str, section: str) -> F.Column:
 
 
 def in_order(chunks: DataFrame) -> DataFrame:
-    """(document_id, text, before, lead): the latest row of each chunk, its title and section heading apart, with the text of the chunk before it in its document.
-
-    A document is taken in stretches of STRETCH ordinals, each with the last chunk of the stretch before, so that no
-    document, however long, is one task's.
-    """
+    """(document_id, ordinal, chunk_id, text, lead), sorted, in partitions of ranges of document and ordinal: chunks with their title and section heading apart."""
     rows = chunks.where(F.col("document_id").isNotNull() & F.col("text").isNotNull()).select("document_id", "chunk_id", "ordinal", "written_at", F.col("text").alias("whole"), passage_text("title", "section").alias("text"))
     rows = rows.withColumn("lead", F.substr("whole", F.lit(1), F.length("whole") - F.length("text"))).drop("whole")
-    stretch = F.floor(F.coalesce("ordinal", F.lit(0)) / STRETCH)
-    ends = F.col("ordinal") % STRETCH == STRETCH - 1
-    places = F.when(ends, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
-    rows = rows.withColumn("own", stretch).withColumn("stretch", F.explode(places)).repartition("document_id", "stretch")
-    last = Window.partitionBy("document_id", "stretch", "chunk_id").orderBy(F.col("written_at").desc_nulls_last())
-    order = Window.partitionBy("document_id", "stretch").orderBy(F.col("ordinal").asc_nulls_last(), "chunk_id")
-    tail = F.substring(F.lag("text").over(order), -TAIL * 12, TAIL * 12)
-    one = rows.withColumn("k", F.row_number().over(last)).where("k = 1")
-    return one.withColumn("before", F.coalesce(tail, F.lit(""))).where("own = stretch").select("document_id", "text", "before", "lead")
-
-
-def _blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
-    """Passages of the items on the driver, in blocks of bounded size; items are a held-out set, small beside any corpus."""
+    order = ["document_id", F.col("ordinal").asc_nulls_last()]
+    return rows.repartitionByRange(slots(chunks.sparkSession), *order).sortWithinPartitions(*order, "chunk_id", F.col("written_at").desc_nulls_last()).drop("written_at")
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """Passages of the items in blocks of bounded size, one at a time."""
     parts = F.flatten(F.array(F.array("question"), F.coalesce("contexts", F.array().cast("array<string>")), F.array("long_answer")))
     each = items.where(F.col("pmid").isNotNull()).select("pmid", F.explode(parts).alias("passage")).where(F.col("passage").isNotNull()).distinct().orderBy("pmid", "passage")
-    blocks: list[list[tuple[str, str]]] = []
-    room = 0
+    block, room = [], BLOCK_WORDS
     for r in each.toLocalIterator():
-        if room <= 0:
-            blocks.append([])
-            room = BLOCK_WORDS
-        blocks[-1].append((r.pmid, r.passage))
+        block.append((r.pmid, r.passage))
         room -= len(r.passage.split())
-    return blocks
+        if room <= 0:
+            yield block
+            block, room = [], BLOCK_WORDS
+    if block:
+        yield block
+
+
+def _matches(tables: Patterns, whose: list[str], texts: list[list[str]]) -> tuple[list[str], list[str]]:
+    row, passage = tables.leaks(texts)
+    found = {(whose[r], tables.pmid[p]) for r, p in zip(row.tolist(), passage.tolist())}
+    return [d for d, _ in found], [p for _, p in found]
+
+
+_FOUND = "document_id string, pmid string, part int, head string, next_id string, tail string"
+
+
+def _read(shared):
+    """Sorted chunks of one task to its matches (document_id, pmid) and, last, its border: the first document with its first
+    words, the last one with its last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Patterns.of(shared)
+        first = chunk = document = None
+        head: list[str] = []
+        tail: list[str] = []
+        for b in slices(batches):
+            whose, texts = [], []
+            for d, c, text, lead in zip(*(b.column(x).to_pylist() for x in ("document_id", "chunk_id", "text", "lead"))):
+                if d == document and c is not None and c == chunk:
+                    continue  # an earlier row of the chunk
+                if d != document:
+                    tail = []
+                document, chunk = d, c
+                w = words(text)
+                now = joined(tail, w)
+                whose.append(d)
+                texts.append(now)
+                if first is None:
+                    first = d
+                if d == first and len(head) < TAIL:
+                    head = (head + now[len(tail) :] if now[: len(tail)] == tail else joined(head, w))[:TAIL]
+                tail = now[-TAIL:]
+                if lead:
+                    whose.append(d)
+                    texts.append(words(lead + text[: TAIL * 12]))
+            ids, pmids = _matches(tables, whose, texts)
+            none = pa.nulls(len(ids), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(pmids, pa.string()), pa.nulls(len(ids), pa.int32()), none, none, none], [f.split()[0] for f in _FOUND.split(", ")])
+        if first is not None:
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pylist([{"document_id": first, "pmid": None, "part": part, "head": " ".join(head), "next_id": document, "tail": " ".join(tail)}], pa.schema([(n, pa.int32() if k == "int" else pa.string()) for n, k in (f.split() for f in _FOUND.split(", "))]))
+
+    return run
+
+
+def _borders(shared):
+    """Borders in order, a row a task of ``_read``, to the matches across them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Patterns.of(shared)
+        document, tail = None, []
+        whose, texts = [], []
+        for b in batches:
+            for r in b.to_pylist():
+                head = r["head"].split()
+                if r["document_id"] == document:
+                    whose.append(document)
+                    texts.append(joined(tail, head))
+                    if r["next_id"] == document and len(head) < TAIL:  # the whole task holds less than a tail
+                        tail = texts[-1][-TAIL:]
+                        continue
+                document, tail = r["next_id"], r["tail"].split()
+        ids, pmids = _matches(tables, whose, texts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(pmids, pa.string())], ["document_id", "pmid"])
+
+    return run
 
 
 def by_text(chunks: DataFrame, items: DataFrame) -> DataFrame:
     """(document_id, pmid): documents whose chunks hold a passage of an item."""
     spark = chunks.sparkSession
     read = in_order(chunks)
+    blocks = _blocks(items)
+    block, following = next(blocks, None), next(blocks, None)
+    if following is not None:
+        read = cut(read)  # sorted once for all blocks
     out = spark.createDataFrame([], "document_id string, pmid string")
-    for block in _blocks(items):
-        shared = spark.sparkContext.broadcast(block)  # at most BLOCK_WORDS words
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tables = Patterns(shared.value)
-            for b in slices(batches):
-                texts, heads, whose = [], [], []
-                for n, (text, before, lead) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "before", "lead")))):
-                    w = words(text)
-                    texts.append(joined(words(before)[-TAIL:], w) if before else w)
-                    if lead:
-                        heads.append(words(lead + text[: TAIL * 12]))
-                        whose.append(n)
-                row, passage = tables.leaks(texts + heads)
-                row = np.array([*range(len(texts)), *whose], np.int64)[row]
-                pmid = pa.array([tables.pmid[p] for p in passage.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column("document_id").take(pa.array(row)), pmid], ["document_id", "pmid"])
-
-        out = out.unionByName(read.mapInArrow(run, "document_id string, pmid string"))
+    while block is not None:
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))  # about BLOCK_WORDS words
+        found = written(read.mapInArrow(_read(shared), _FOUND))
+        between = found.where("part is not null").select("document_id", "head", "next_id", "tail", "part").repartition(1).sortWithinPartitions("part")  # a row a task
+        across = written(between.mapInArrow(_borders(shared), "document_id string, pmid string"))
+        out = out.unionByName(found.where("pmid is not null").select("document_id", "pmid")).unionByName(across)
+        shared.destroy()
+        block, following = following, next(blocks, None)
     return out
 
 

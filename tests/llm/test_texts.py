@@ -182,13 +182,67 @@ def test_no_scans_no_defects(spark):
     assert S.defects(df).count() == 0 and S.defects(df.limit(0)).count() == 0 and S.reflow(df.limit(0)).count() == 0
 
 
-def test_a_long_document_is_read_over_its_stretches(spark):
+def chunked(spark, texts, d="d"):
+    return spark.createDataFrame([(f"{d}-{i}", d, i, "t", None, t, None, None) for i, t in texts], CHUNKS)
+
+
+def test_a_long_document_is_read_over_its_tasks(spark):
     rng = random.Random(5)
     held = passage(rng)
     w = held.split()
-    rows = [(f"c{i}", "d", i, "t", None, passage(rng, 12), None, None) for i in range(1, 200)]
-    rows[L.STRETCH - 2] = ("a", "d", L.STRETCH - 1, "t", None, passage(rng, 10) + " " + " ".join(w[:12]), None, None)
-    rows[L.STRETCH - 1] = ("b", "d", L.STRETCH, "t", None, " ".join(w[12:24]) + " " + passage(rng, 10), None, None)
+    texts = [[i, passage(rng, 12)] for i in range(1, 400)]
+    for k in range(20, 380, 7):  # so that some are cut by the border of a task
+        texts[k][1] = passage(rng, 10) + " " + " ".join(w[:12])
+        texts[k + 1][1] = " ".join(w[12:24]) + " " + passage(rng, 10)
     items = spark.createDataFrame([("9", held, None, None)], ITEMS)
-    assert [tuple(r) for r in L.by_text(spark.createDataFrame(rows, CHUNKS), items).distinct().collect()] == [("d", "9")]
-    assert L.in_order(spark.createDataFrame(rows, CHUNKS)).count() == 199
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert [tuple(r) for r in L.by_text(chunked(spark, texts), items).distinct().collect()] == [("d", "9")]
+        lone = [(i, x) for i, x in enumerate(w[:20] + passage(rng, 60).split())]  # a word a chunk, two chunks a task
+        assert [tuple(r) for r in L.by_text(chunked(spark, lone), items).distinct().collect()] == [("d", "9")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_passage_over_gaps_and_over_many_small_chunks(spark):
+    rng = random.Random(7)
+    held = [passage(rng) for _ in range(4)]
+    w = [h.split() for h in held]
+    texts = {
+        "gap": [(62, passage(rng, 20) + " " + " ".join(w[0][:12])), (64, " ".join(w[0][12:24]) + " " + passage(rng, 20))],
+        "three": [(1, passage(rng, 20) + " " + " ".join(w[1][:6])), (2, " ".join(w[1][6:12])), (900, " ".join(w[1][12:18]) + " " + passage(rng, 20))],
+        "single": [(i, x) for i, x in enumerate(w[2][:16])],
+        "apart": [(1, passage(rng, 20) + " " + " ".join(w[3][:10]))],
+        "apart2": [(2, " ".join(w[3][10:20]) + " " + passage(rng, 20))],
+    }
+    chunks = None
+    for d, rows in texts.items():
+        chunks = chunked(spark, rows, d) if chunks is None else chunks.unionByName(chunked(spark, rows, d))
+    items = spark.createDataFrame([(str(i), None, [p], None) for i, p in enumerate(held)], ITEMS)
+    assert {(r.document_id, r.pmid) for r in L.by_text(chunks, items).collect()} == {("gap", "0"), ("three", "1"), ("single", "2")}
+
+
+def test_borders_of_tasks():
+    class Shared:
+        value = ("a key", [("1", " ".join(f"w{i}" for i in range(20)))])
+
+    def border(part, first, head, last, tail):
+        return {"part": part, "document_id": first, "head": head, "next_id": last, "tail": tail}
+
+    w = Shared.value[1][0][1].split()
+    rows = [border(0, "a", "x", "b", "y " + " ".join(w[:7])), border(1, "b", " ".join(w[7:9]), "b", " ".join(w[7:9])), border(2, "b", " ".join(w[9:16]), "c", " ".join(w[:8])), border(3, "d", " ".join(w[8:]), "d", "z")]
+    got = [r for b in L._borders(Shared)([L.pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    assert got == [{"document_id": "b", "pmid": "1"}]
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    held = [passage(rng) for _ in range(6)]
+    phrase = "the fold of the cell rose from {} to {} in all samples of the wet season and then fell to {} again"
+    held += [phrase.format(*(rng.randrange(1000, 9999) for _ in range(3))) for _ in range(30)]
+    items = spark.createDataFrame([(str(i), None, [p], None) for i, p in enumerate(held)], ITEMS)
+    texts = [(i, passage(rng, 30) + " " + held[k] + " " + passage(rng, 30)) for i, k in enumerate((0, 3, 7, 20))] + [(9, phrase.format(1, 2, 3))]
+    want = {("d", "0"), ("d", "3"), ("d", "7"), ("d", "20")}
+    for words in (2_000_000, 60):
+        monkeypatch.setattr(L, "BLOCK_WORDS", words)
+        assert {(r.document_id, r.pmid) for r in L.by_text(chunked(spark, texts), items).collect()} == want
