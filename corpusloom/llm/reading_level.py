@@ -2,14 +2,17 @@
 
 Texts graded by hand give each word a distribution over the levels, kept by clause so that clauses
 borrowed from another level can be set right by the words around them, and from it a grade, the
-expected level, and how sharply it points there. Words the graded texts lack get a grade from the
-levels that a first pass gives to the texts of the collection itself, counted over all of them. A text's
-level is read from a quantile of the grades of its sharp words, each clause weighing by its length;
-which quantile, and where the levels part, is calibrated on held-out folds of the graded texts.
+expected level, and how sharply it points there. A text's level is read from a quantile of the grades
+of its sharp words, the words of a clause sharing its length; which quantile, and where the levels part,
+is calibrated on held-out folds of the graded texts.
 
-Bounds: the graded texts are fitted on the driver, at most ``MOST_GRADED`` of them. A word of the
-collection is graded only if at least ``LEAST_SHARE`` of the texts hold it, which bounds their number
-by words a text / LEAST_SHARE whatever the size of the collection.
+One pass reads the texts: it gives each a first level by the words of the graded texts, and leaves the grades
+it met and the words it didn't know, by clause. From those, counted by the first levels over all texts, unknown
+words get grades of their own, in a table that is joined with the places they stand in; the level comes
+from all grades of a text.
+
+Bounds: the graded texts are fitted on the driver, at most ``MOST_GRADED`` of them. The table of learnt
+words is as long as the vocabulary and goes nowhere whole. A word is learnt from ``LEAST_TEXTS`` texts on, at any size.
 
 Defined results: of a repeated record_id the latest row counts; a null text or one under
 ``min_chars`` characters gives no row; a text without a known word gets the middle level.
@@ -26,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import latest, slices
+from ..session import written
+from .common import latest, lists, slices
 
 #: The levels in order of difficulty.
 LEVELS = ["elementary", "high_school", "undergraduate", "graduate", "professional"]
 MIN_CHARS = 200
 SHARP = 0.6
 MOST_GRADED = 20_000
-LEAST_SHARE = 0.001
+LEAST_TEXTS = 5
 QUANTILES = (0.5, 0.4, 0.6)
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"(?<=[.!?;:])\s+|\n+|,\s+(?=(?:but|and|so|whereas|although|yet|or)\s)")
@@ -79,19 +83,26 @@ def grades(counts: dict[str, np.ndarray], least: int = 2) -> dict[str, tuple[flo
     return out
 
 
-def grade_quantile(found: list[list[str]], known: dict[str, tuple[float, float]], q: float) -> float | None:
-    """Quantile of the grades of the sharp words; each clause has its length to share among its sharp words."""
-    value, weight = [], []
+def shares(found: list[list[str]], known: dict[str, tuple[float, float]]) -> tuple[list[float], list[float]]:
+    """Grades of the sharp words and their weights: each clause has its length to share among its sharp words."""
+    value: list[float] = []
+    weight: list[float] = []
     for clause in found:
         sharp = [known[w][0] for w in clause if w in known and known[w][1] >= SHARP]
         if sharp:
-            value.append(float(np.median(sharp)))
-            weight.append(sum(map(len, clause)))
+            value += sharp
+            weight += [sum(map(len, clause)) / len(sharp)] * len(sharp)
+    return value, weight
+
+
+def grade_quantile(found: list[list[str]], known: dict[str, tuple[float, float]], q: float) -> float | None:
+    """Quantile of the grades of the sharp words."""
+    value, weight = shares(found, known)
     if not value:
         return None
     order = np.argsort(value, kind="stable")
     mass = np.cumsum(np.array(weight, float)[order])
-    return value[order[int(np.searchsorted(mass, q * mass[-1]))]]
+    return value[order[int(np.searchsorted(mass, q * mass[-1] - 1e-9))]]
 
 
 def calibrate(graded: list[tuple[list[list[str]], int]], folds: int = 5) -> tuple[float, list[float], float]:
@@ -131,59 +142,81 @@ def fit(sample: DataFrame, text: str = "text", level: str = "academic_level") ->
     return {"known": grades(word_counts(graded)), "q": q, "cuts": cuts, "held_out": right}
 
 
-def learn_from_texts(model: dict, texts: DataFrame) -> dict:
-    """The model with grades for frequent words it lacks, by the levels its first pass gives to all of ``texts``."""
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast(model)  # at most the words of MOST_GRADED texts
+def read(texts: DataFrame, model: dict, key: str, min_chars: int) -> DataFrame:
+    """(key, wanted, level, seen): whether a text is long enough to be asked for, its first level, and of each clause its
+    number, its length, the grades of its known sharp words (word null) and its unknown words (grade null)."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # at most the words of MOST_GRADED texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        known = m["known"]
         for b in slices(batches):
-            counts: dict[tuple[str, int], int] = defaultdict(int)
+            levels, counts, clause, size, grade, words = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 found = clauses(text)
-                if (level := _level(m["known"], m["q"], m["cuts"], found)) is not None:
-                    counts["", level] += 1
-                    for w in set().union(*found) - m["known"].keys():
-                        counts[w, level] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "level", "n"])
-
-    per = texts.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "word string, level int, n long")
-    wide = [F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LEVELS))]
-    each = per.groupBy("word").agg(*wide)
-    total = F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") + F.col("n4")
-    all_texts = each.where(F.col("word") == "").select(total.alias("t")).first()
-    if all_texts is None:
-        return model
-    rows = each.where(total >= F.lit(max(5, LEAST_SHARE * all_texts.t))).collect()
-    counts = {r.word: np.array(r[1:], float) for r in rows}
-    texts_at = np.maximum(counts.pop("", np.ones(len(LEVELS))), 1)
-    more = {}
-    for w, c in counts.items():
-        p = c / texts_at
-        p /= p.sum()
-        more[w] = (float(p @ np.arange(len(LEVELS))), float(p.max()))
-    return model | {"known": more | model["known"]}
-
-
-def levels(records: DataFrame, model: dict, key: str = "record_id", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, academic_level) of each row of at least ``min_chars`` characters."""
-    shared = records.sparkSession.sparkContext.broadcast(model)
+                levels.append(_level(known, m["q"], m["cuts"], found))
+                n = len(words)
+                for c, each in enumerate(found):
+                    length = sum(map(len, each))
+                    for w in each:
+                        g = known.get(w)
+                        if g is None or g[1] >= SHARP:
+                            clause.append(c)
+                            size.append(length)
+                            grade.append(g[0] if g else None)
+                            words.append(None if g else w)
+                counts.append(len(words) - n)
+            flat = pa.StructArray.from_arrays([pa.array(clause, pa.int32()), pa.array(size, pa.int32()), pa.array(grade, pa.float64()), pa.array(words, pa.string())], ["clause", "size", "grade", "word"])
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("wanted"), pa.array(levels, pa.int32()), lists(flat, counts, flat.type)], [key, "wanted", "level", "seen"])
+
+    rows = texts.select(key, (F.length("text") >= min_chars).alias("wanted"), "text")
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, wanted boolean, level int, seen array<struct<clause: int, size: int, grade: double, word: string>>")
+
+
+def learnt(seen: DataFrame, key: str) -> DataFrame:
+    """(word, grade) of the sharp words among the unknown, by the first levels of all texts that hold them."""
+    levelled = seen.where(F.col("level").isNotNull())
+    n = len(LEVELS)
+    texts_at = {r.level: r.n for r in levelled.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a level
+    each = levelled.select("level", F.explode(F.array_distinct(F.filter("seen.word", lambda w: w.isNotNull()))).alias("word"))
+    at = [F.sum(F.when(F.col("level") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(n)]
+    counts = each.groupBy("word").agg(*at, F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
+    share = [F.col(f"n{k}") / F.lit(float(max(1, texts_at.get(k, 1)))) for k in range(n)]
+    total = sum(share[1:], share[0])
+    grade = sum((k * share[k] for k in range(1, n)), F.lit(0.0)) / total
+    return counts.where(F.greatest(*share) / total >= SHARP).select("word", grade.alias("grade"))
+
+
+def levels(seen: DataFrame, more: DataFrame, model: dict, key: str) -> DataFrame:
+    """(key, academic_level) of the wanted texts from the grades of all sharp words, known and learnt."""
+    seen = seen.where("wanted")
+    own = seen.where(F.exists("seen", lambda s: s["word"].isNotNull())).select(key, F.explode(F.filter("seen", lambda s: s["word"].isNotNull())).alias("s")).select(key, "s.word", "s.clause", "s.size")
+    added = own.join(more, "word").groupBy(key).agg(F.collect_list(F.struct("clause", "size", "grade")).alias("added"))  # the words of one text
+    rows = seen.select(key, F.transform(F.filter("seen", lambda s: s["grade"].isNotNull()), lambda s: F.struct(s["clause"], s["size"], s["grade"])).alias("met")).join(added, key, "left")
+    q, cuts = model["q"], model["cuts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in slices(batches):
+        for b in batches:
             out = []
-            for text in b.column("text").to_pylist():
-                k = _level(m["known"], m["q"], m["cuts"], clauses(text))
-                out.append(LEVELS[len(LEVELS) // 2 if k is None else k])
+            for met, also in zip(b.column("met").to_pylist(), b.column("added").to_pylist()):
+                all_ = (met or []) + (also or [])
+                if not all_:
+                    out.append(LEVELS[n // 2])
+                    continue
+                clause, size, grade = (np.array([x[c] for x in all_]) for c in ("clause", "size", "grade"))
+                weight = size / np.bincount(clause)[clause]
+                order = np.argsort(grade, kind="stable")
+                mass = np.cumsum(weight[order])
+                out.append(LEVELS[int(np.searchsorted(cuts, grade[order[int(np.searchsorted(mass, q * mass[-1] - 1e-9))]]))])
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(out, pa.string())], [key, "academic_level"])
 
-    rows = records.where(F.length("text") >= min_chars).select(key, "text")
+    n = len(LEVELS)
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, academic_level string")
 
 
 def read_levels(records: DataFrame, sample: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(record_id, academic_level) for ``records(record_id, text, judged_at)`` by what ``sample`` shows."""
-    last = latest(records.select("record_id", "text", "judged_at"), "record_id", "judged_at")
-    return levels(last, learn_from_texts(fit(sample), last), "record_id", min_chars)
+    last = latest(records.select("record_id", "text", "judged_at"), "record_id", "judged_at").where(F.col("text").isNotNull())
+    model = fit(sample)
+    seen = written(read(last, model, "record_id", min_chars))
+    return levels(seen, learnt(seen, "record_id"), model, "record_id")
