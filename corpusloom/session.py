@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -21,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a folder of this machine is chosen.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and all runs on this machine, as in
+    local tests, a folder of it is chosen.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     here = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
     spark.conf.set("spark.checkpoint.dir", here)
     return here
@@ -40,9 +43,24 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        _delete_at_end(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files and checkpoints that no DataFrame refers to any more.
+
+    Spark removes them once the driver's garbage is collected, which may be long after an iterative job has filled the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a compressed table in the shared folder, removed when the application ends.
 
@@ -51,8 +69,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
