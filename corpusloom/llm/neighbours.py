@@ -5,7 +5,7 @@ trees, fitted on a bounded sample and applied to every node, deals the nodes int
 nodes of a leaf are compared with one another and give the first neighbour graph. Then the graph
 is joined with itself: for each block of nodes, the lists of their neighbours, then the vectors of
 all neighbours of neighbours, are brought in by two Spark joins, and every better neighbour found
-goes into the lists of both its ends. This repeats until few lists change. ``search`` answers other
+goes into the lists of both its ends. This repeats until few lists change, however many rounds that takes. ``search`` answers other
 queries by greedy search along the graph: the best nodes not yet opened are joined with the graph,
 round by round.
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 
 DIM = 64
 K = 10
@@ -41,14 +41,12 @@ LEAF = 1536
 SAMPLE = 16_384
 TASK_ROWS = 40_000
 BLOCK = 8_192
-ROUNDS = 4
 SETTLED = 0.01
 UNIT = 1_000_000_000  # a cosine is held in billionths
 NONE = -2_000_000_000  # below any cosine
 BEAM = 32
 ENTRIES = 8
 DOOR_TREES = 2
-SEARCH_ROUNDS = 12
 
 
 def usable(df: DataFrame, vector: str, dim: int = DIM) -> DataFrame:
@@ -305,7 +303,7 @@ def _descend(dim: int, keep: int):
     return run
 
 
-def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, settled: float = SETTLED) -> tuple[DataFrame, Forest]:
+def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREES, leaf: int = LEAF, settled: float = SETTLED, task_rows: int = TASK_ROWS) -> tuple[DataFrame, Forest]:
     """(node, home, nb, sim, changed): each node's ``keep`` neighbours as found by NN-descent, best first, with its block."""
     count = points.count()
     share = min(1.0, 1.2 * SAMPLE / max(count, 1))
@@ -324,18 +322,25 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
             for tree in range(trees):
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("raw"), pa.array(np.full(len(x), tree, np.int32)), pa.array(forest.leaf(tree, x))], ["node", "raw", "tree", "leaf"])
 
+    def count_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _doubles(b.column("raw").to_pylist(), dim)
+                for tree in range(trees):
+                    leaf, n = np.unique(forest.leaf(tree, x), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), tree, np.int32)), pa.array(leaf), pa.array(n)], ["tree", "leaf", "n"])
+
     dealt = points.select("node", "raw").mapInArrow(deal, "node long, raw binary, tree int, leaf long")
-    sizes = dealt.groupBy("tree", "leaf").count().where(F.col("count") > TASK_ROWS)
-    wide = {(r.tree, r.leaf): -(-r["count"] // TASK_ROWS) for r in sizes.collect()}  # at most the forest's leaves
-    salt = F.lit(0).cast("long")
-    for (tree, number), parts in wide.items():
-        salt = F.when((F.col("tree") == tree) & (F.col("leaf") == number), F.pmod(F.xxhash64("node"), F.lit(parts))).otherwise(salt)
-    made = dealt.withColumn("salt", salt).groupBy("tree", "leaf", "salt").applyInArrow(_first_lists(dim, keep, leaf, together), "node long, home long, nb binary, sim binary")
+    sizes = points.select("raw").mapInArrow(count_leaves, "tree int, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
+    parts = sizes.where(F.col("n") > task_rows).select("tree", "leaf", F.ceil(F.col("n") / task_rows).alias("parts"))
+    dealt = dealt.join(F.broadcast(parts), ["tree", "leaf"], "left")  # a row a wide leaf, of at most SAMPLE leaves a tree
+    salted = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    made = salted.groupBy("tree", "leaf", "salt").applyInArrow(_first_lists(dim, keep, leaf, together), "node long, home long, nb binary, sim binary")
 
     merged = "node long, home long, nb binary, sim binary, changed int"
     listed = made.groupBy("node").agg(F.collect_list("nb").alias("nbs"), F.collect_list("sim").alias("sims"), F.max("home").alias("home"))
     g = cut(listed.withColumn("old", F.lit(None).cast("binary")).mapInArrow(_merge_lists(keep), merged))
-    for _ in range(rounds):
+    while True:
         active = g.where("changed > 0")  # all in the first round, then those with new neighbours
         near = _pairs_of(active).join(g.select("node", "nb"), "node").select("home", F.lit(1).alias("kind"), "node", F.col("nb").alias("load"))
         inner = active.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"))
@@ -349,9 +354,10 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
         joined = g.select("node", "home", "nb", "sim", F.col("nb").alias("old")).unionByName(better.select("node", F.lit(None).cast("long").alias("home"), "nb", "sim", F.lit(None).cast("binary").alias("old")))
         both = joined.groupBy("node").agg(F.collect_list("nb").alias("nbs"), F.collect_list("sim").alias("sims"), F.max("home").alias("home"), F.max("old").alias("old"))
         g = cut(both.mapInArrow(_merge_lists(keep), merged))
-        if (g.agg(F.sum("changed")).first()[0] or 0) <= settled * keep * count:
-            break
-    return g, forest
+        del lists, better
+        release(points.sparkSession)
+        if (g.agg(F.sum("changed")).first()[0] or 0) <= settled * keep * count:  # entries only ever get better, so this ends
+            return g, forest
 
 
 _ANY = bytearray(np.array([NONE], np.int32).tobytes() + np.array([0], np.int64).tobytes())
@@ -430,7 +436,7 @@ def _doors(dim: int, entries: int):
     return run
 
 
-def search(points: DataFrame, g: DataFrame, forest: Forest, queries: DataFrame, dim: int = DIM, k: int = K, beam: int = BEAM, entries: int = ENTRIES, most_rounds: int = SEARCH_ROUNDS) -> DataFrame:
+def search(points: DataFrame, g: DataFrame, forest: Forest, queries: DataFrame, dim: int = DIM, k: int = K, beam: int = BEAM, entries: int = ENTRIES) -> DataFrame:
     """(query_id, ids, sims): the k + 1 ids most similar to each of ``queries(query_id, raw)``, by greedy search along the graph.
 
     A query enters at the nearest nodes of its leaves. In each round its best nodes not yet opened, among the
@@ -459,26 +465,27 @@ def search(points: DataFrame, g: DataFrame, forest: Forest, queries: DataFrame,
     salted = salted.select("node", "raw", *keys).toDF("node", "raw", *keys)
     fresh = spread.groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInArrow(_doors(dim, entries), "query_id long, node long").distinct()
     vectors = points.select("node", "raw")
-    links = g.select("node", "nb").mapInArrow(_links, "node long, next long")
+    links = g.select("node", "nb")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "node"))
     near = None
-    for _ in range(most_rounds):
+    while True:  # each round opens nodes of the beam that were not, and the beam only ever gets better
         scored = fresh.join(vectors, "node").join(q, "query_id").mapInArrow(_scores(dim), "query_id long, node long, sim int").withColumn("opened", F.lit(False))
         near = cut((scored if near is None else near.unionByName(scored)).withColumn("r", best).where(F.col("r") <= beam).drop("r"))
         front = near.where("not opened").select("query_id", "node")
         if front.isEmpty():
             break
-        fresh = front.join(links, "node").select("query_id", F.col("next").alias("node")).distinct().join(near.select("query_id", "node"), ["query_id", "node"], "left_anti")
+        ahead = front.join(links, "node").select("query_id", "nb").groupBy("query_id").applyInArrow(_ahead, "query_id long, node long")
+        fresh = ahead.join(near.select("query_id", "node"), ["query_id", "node"], "left_anti")
         near = near.withColumn("opened", F.lit(True))
+        release(points.sparkSession)
     full = near.select("query_id", "node", "sim").join(points.select("node", "first"), "node")
     return full.groupBy("query_id").applyInArrow(_rank_query(k), "query_id long, ids array<long>, sims array<double>")
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = [np.frombuffer(x, np.int64) for x in b.column("nb").to_pylist()]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), n)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], ["node", "next"])
+def _ahead(key: tuple, t: pa.Table) -> pa.Table:
+    """The distinct nodes in the lists that one query opens, at most a beam of them."""
+    ids = np.unique(np.frombuffer(b"".join(t.column("nb").to_pylist()), np.int64))
+    return pa.table({"query_id": pa.array(np.full(len(ids), key[0].as_py()), pa.int64()), "node": pa.array(ids)})
 
 
 def _rank_query(k: int):
