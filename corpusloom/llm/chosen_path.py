@@ -7,7 +7,9 @@ picked by the run, and splits each bucket that is still large by positions picke
 own path, level by level, so that sets alike at the threshold keep together with fair chance.
 Small buckets are compared by brute force, first on 128-bit sketches, and runs are repeated until
 the target recall. The pairs left are decided on the exact sets. A bucket that a level hardly makes
-smaller, or that is large at the last level, holds many different sets all alike and is compared whole, in blocks.
+smaller holds many different sets all alike and is compared whole, in blocks. Where others are still large
+at the last level, the classes in them are joined once more by themselves, with twice the levels and the runs those need,
+until none is: a bucket halves at each level or is compared, so log2(classes / bucket) levels are enough.
 
 Defined results: null title and null text count as empty; records with fewer than ``least``
 sequences take no part; of a repeated document_id the latest row counts; rows without document_id
@@ -129,7 +131,7 @@ def signatures(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.mapInArrow(run, f"document_id string, id long, n int, low binary, s1 long, s2 long, stamp {kind}")
 
 
-def _split(threshold: float, runs: int | None):
+def _split(threshold: float, runs: range | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -139,7 +141,7 @@ def _split(threshold: float, runs: int | None):
                 row, key = _deeper(b.column("key").to_numpy().astype(np.uint64), low, threshold)
                 up = b.column("size").take(pa.array(row))
             else:
-                parts = [_deeper(np.full(len(low), mix(np.array([r + 1], np.uint64))[0]), low, threshold) for r in range(runs)]
+                parts = [_deeper(np.full(len(low), mix(np.array([r + 1], np.uint64))[0]), low, threshold) for r in runs]
                 row, key = (np.concatenate(x) for x in zip(*parts))
                 up = pa.nulls(len(row), pa.int64())
             took = b.select(["id", "s1", "s2"]).take(pa.array(row))
@@ -155,23 +157,25 @@ def _near(a: str, b: str, least: int) -> F.Column:
     return F.bit_count(odd[0]) + F.bit_count(odd[1]) <= MINIMA - least
 
 
-def candidates(classes: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs of ``classes(id, low, s1, s2)`` that share a bucket and whose sketches agree."""
+def candidates(classes: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET, depth: int = DEPTH, recall: float = RECALL, done: int = 0) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs of ``classes(id, low, s1, s2)`` that share a bucket and whose sketches agree. ``done`` runs were made before."""
     schema = "id long, s1 long, s2 long, key long, up long"
     runs = runs_needed(threshold, depth, recall)
     least = agreeing(threshold)
-    live = classes.mapInArrow(_split(threshold, runs), schema)
+    live = classes.mapInArrow(_split(threshold, range(done, done + runs)), schema)
     small, whole = [], []
     for level in range(1, depth + 1):
         counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
         counted = written(live.join(counts, "key"))
         small.append(counted.where(F.col("size") <= bucket).select("key", "id", "s1", "s2"))
         # a bucket that its level hardly made smaller holds sets all alike: further levels would only multiply it
-        stuck = F.coalesce(F.col("size") >= STUCK * F.col("up"), F.lit(False)) if level < depth else F.lit(True)
+        stuck = F.coalesce(F.col("size") >= STUCK * F.col("up"), F.lit(False))
         large = counted.where(F.col("size") > bucket)
         whole.append(large.where(stuck).select("key", "id", "s1", "s2", "size"))
         large = large.where(~stuck)
-        if level == depth or large.isEmpty():
+        empty = large.isEmpty()
+        if level == depth or empty:
+            deep = None if empty else large
             break
         live = large.select("key", "id", "size").join(classes, "id").mapInArrow(_split(threshold, None), schema)
     rows = small[0]
@@ -191,6 +195,9 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, bucket: int = B
         same = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
         apart = (F.col("a.mine") != F.col("b.mine")) | (F.col("a.i") == F.col("a.j"))
         found = found.unionByName(spread.alias("a").join(spread.alias("b"), same & apart & met).select(*pick))
+    if deep is not None:
+        again = cut(classes.join(deep.select("id").distinct(), "id", "left_semi"))
+        found = found.unionByName(candidates(again, threshold, bucket, 2 * depth, recall, done + runs))
     return found.distinct()
 
 

@@ -75,3 +75,10 @@ def test_runs_reach_the_target_recall():
     n = C.runs_needed(0.6, 5, 0.999)
     assert 1 - (1 - C.survival(0.6, 0.6, 5)) ** n >= 0.999
     assert C.survival(0.9, 0.6, 5) > C.survival(0.6, 0.6, 5)
+
+
+def test_buckets_large_at_the_last_level_are_split_on(spark):
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(30))
+    records = [(f"d{f:02}-{i}", None, shared + " " + x) for f in range(40) for i, x in enumerate(family(rng, 4, edit=0.02))]
+    assert set(pairs(spark, records, bucket=4, depth=2)) == brute(records)
