@@ -73,7 +73,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             clean: Counter = Counter()
             for scanned, counts in raw.items():
                 for token, k in counts.items():
-                    if 2 <= len(token) <= 60:
+                    if len(token) >= 2:
                         word = _core(token).lower()
                         if any(map(str.isalpha, word)):
                             n[word] += k
@@ -185,15 +185,19 @@ def hyphened(body: DataFrame, counts: DataFrame) -> DataFrame:
     return cut(halves.select("document_id", "line_no", "next_no", "a", "b", split.alias("split")))
 
 
-def _slices_of(df: DataFrame, key: str) -> list[DataFrame]:
-    """df in parts of at most about SMALL_ROWS rows by hash of the key, each fit to go to every task."""
-    parts = max(1, -(-df.count() // SMALL_ROWS))
-    return [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
+def _few(df: DataFrame) -> set | None:
+    """The rows as a set to be sent to every task, None where there are more than SMALL_ROWS."""
+    rows = df.limit(SMALL_ROWS + 1).collect()
+    return {tuple(r) if len(r) > 1 else r[0] for r in rows} if len(rows) <= SMALL_ROWS else None
 
 
-def _occurrences(rows: DataFrame, doubtful: set[str]) -> DataFrame:
-    """(document_id, line_no, word, left, right): whole tokens of the lines that are in ``doubtful``, with their neighbours."""
-    shared = rows.sparkSession.sparkContext.broadcast(doubtful)
+def _occurrences(rows: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """(document_id, line_no, word, left, right): whole tokens of the lines that are in ``doubtful(word)``, with their neighbours.
+
+    Few words go to every task; for more, the tokens are joined with them.
+    """
+    few = _few(doubtful)
+    shared = rows.sparkSession.sparkContext.broadcast(few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
@@ -203,18 +207,20 @@ def _occurrences(rows: DataFrame, doubtful: set[str]) -> DataFrame:
                 tokens = line.split()
                 for k in range(1 if begin else 0, len(tokens) - (1 if end else 0)):
                     core = _core(tokens[k])
-                    if core.lower() in wanted and _WORDLIKE.match(core):
+                    if (wanted is None or core.lower() in wanted) and _WORDLIKE.match(core):
                         at.append(i)
                         found.append((core.lower(), _core(tokens[k - 1]).lower() if k else "", _core(tokens[k + 1]).lower() if k + 1 < len(tokens) else ""))
             cols = [pa.array([f[j] for f in found], pa.string()) for j in range(3)]
             yield pa.RecordBatch.from_arrays([*b.select(["document_id", "line_no"]).take(pa.array(at, pa.int64())).columns, *cols], ["document_id", "line_no", "word", "left", "right"])
 
-    return rows.mapInArrow(run, "document_id string, line_no long, word string, left string, right string")
+    out = rows.mapInArrow(run, "document_id string, line_no long, word string, left string, right string")
+    return out if few is not None else out.join(doubtful, "word", "left_semi")
 
 
-def _beside(rows: DataFrame, pairs: set[tuple[str, str]]) -> DataFrame:
-    """(form, by, times): how often each wanted form stands beside each wanted neighbour in the lines."""
-    shared = rows.sparkSession.sparkContext.broadcast(pairs)
+def _beside(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(form, by, times): how often each form stands beside each neighbour of ``asked(form, by)`` in the lines; few or many as above."""
+    few = _few(asked)
+    shared = rows.sparkSession.sparkContext.broadcast(few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
@@ -224,10 +230,12 @@ def _beside(rows: DataFrame, pairs: set[tuple[str, str]]) -> DataFrame:
                 t = [_core(x).lower() for x in line.split()]
                 n.update((y, "<" + x) for x, y in zip(t, t[1:]))
                 n.update((x, ">" + y) for x, y in zip(t, t[1:]))
-            kept = [(k, v) for k, v in n.items() if k in wanted]
+            kept = [(k, v) for k, v in n.items() if wanted is None or k in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in kept], pa.string()), pa.array([k[1] for k, _ in kept], pa.string()), pa.array([v for _, v in kept], pa.int64())], ["form", "by", "times"])
 
-    return rows.select("line").mapInArrow(run, "form string, by string, times long").groupBy("form", "by").agg(F.sum("times").alias("times"))
+    each = rows.select("line").mapInArrow(run, "form string, by string, times long")
+    each = each if few is not None else each.join(asked, ["form", "by"], "left_semi")
+    return each.groupBy("form", "by").agg(F.sum("times").alias("times"))
 
 
 def misread(body: DataFrame, halves: DataFrame, counts: DataFrame) -> DataFrame:
@@ -236,10 +244,7 @@ def misread(body: DataFrame, halves: DataFrame, counts: DataFrame) -> DataFrame:
     ends = halves.select("document_id", "line_no", F.lit(True).alias("cut_end"))
     begins = halves.select("document_id", F.col("next_no").alias("line_no"), F.lit(True).alias("cut_begin"))
     rows = written(body.join(ends, ["document_id", "line_no"], "left").join(begins, ["document_id", "line_no"], "left"))
-    single = None
-    for part in _slices_of(doubtful.select("word"), "word"):
-        some = _occurrences(rows, {r.word for r in part.collect()})
-        single = some if single is None else single.unionByName(some)
+    single = _occurrences(rows, doubtful.select("word"))
     single = single.withColumns({"next_no": F.lit(None).cast("long"), "first": F.lit(None).cast("int")})
     glued = halves.where("split").select(
         "document_id", "line_no", bare(F.concat("a", "b")).alias("word"), F.lit("").alias("left"), F.lit("").alias("right"), "next_no", F.length("a").alias("first")
@@ -248,10 +253,7 @@ def misread(body: DataFrame, halves: DataFrame, counts: DataFrame) -> DataFrame:
     each = found.withColumn("f", F.explode("forms")).select("*", F.col("f.form").alias("form"), F.col("f.n_form").alias("n_form"), F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right"))).alias("by"))
     # how often each neighbour stands beside each form in the scanned texts
     asked = cut(each.where(F.length("by") > 1).select("form", "by").distinct())
-    beside = None
-    for part in _slices_of(asked, "by"):
-        some = _beside(rows, {(r.form, r.by) for r in part.collect()})
-        beside = some if beside is None else beside.unionByName(some)
+    beside = _beside(rows, asked)
     scored = each.join(beside, ["form", "by"], "left").groupBy("document_id", "line_no", "word", "next_no", "first", "n", "form", "n_form").agg(F.sum(F.coalesce("times", F.lit(0))).alias("support"))
     best = scored.groupBy("document_id", "line_no", "word", "next_no", "first", "n").agg(F.max(F.struct("support", "n_form", "form")).alias("b"))
     sure = (F.col("b.support") >= 2) | (F.col("b.n_form") >= FAR_RATIO * F.col("n"))

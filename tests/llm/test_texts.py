@@ -171,6 +171,15 @@ def test_heads_numbers_cuts_and_misreadings(spark):
     assert first.startswith("The membrane of the muscle cell depends on the nerve and on the membrane and the dose-dependent signal of the muscle in every record")
 
 
+def test_many_doubtful_words_are_joined(spark, monkeypatch):
+    text = "\n".join(["## Pages 1-3", "", "The mernbrane of the muscle cell depends on the nerve and on the", "signal of the rnuscle in every record of the nerve and the cell", "zq" * 40])
+    df = run(spark, [("d", "t", text, "pdf")])
+    want = {("d", 3, "misread"), ("d", 4, "misread")}
+    for rows in (100_000, 0):
+        monkeypatch.setattr(S, "SMALL_ROWS", rows)
+        assert {(r.document_id, r.line_no, r.defect) for r in S.defects(df).collect()} == want
+
+
 def test_section_heads_recur_over_texts(spark):
     rows = [(f"d{i}", f"Title {i}x", pages([f"Overview | {i}"], [f"{i + 1}   OVERVIEW"]), "pdf") for i in range(4)]
     got = {(r.document_id, r.line_no) for r in S.defects(run(spark, rows)).collect() if r.defect == "running_head"}
