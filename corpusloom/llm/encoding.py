@@ -11,8 +11,11 @@ ordinary text; every row comes out once, whatever its other columns hold.
 
 from __future__ import annotations
 
+import atexit
 import base64
 import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -21,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
+import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import cut
 from .common import lists, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,6 +37,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEXICON_WORDS = 32_768
 CACHED_WORDS = 400_000
+_SENT: set[tuple[str, str]] = set()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -209,18 +215,22 @@ def build_lexicon(df: DataFrame, text: str = "text", vocabulary: str = VOCABULAR
     return Lexicon.compile({w: merge(w, ranks) for w in words})
 
 
-def publish(spark: SparkSession, packed: bytes) -> str | bytes:
-    """The automaton in the shared folder, or, where that is no file system path, the bytes themselves (a few MB)."""
-    where = shared_dir(spark)
-    if not where.startswith(("file:", "/")):
-        return packed
-    folder = "/" + where.removeprefix("file:").lstrip("/")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"lexicon-{uuid.uuid4().hex}.bin")
-    with open(path + ".part", "wb") as f:
+def publish(spark: SparkSession, packed: bytes, vocabulary: str) -> tuple[str, str]:
+    """Names under which every worker finds the automaton and the vocabulary: Spark brings each machine its copies."""
+    folder = tempfile.mkdtemp(prefix="lexicon-")  # of the driver, which serves the files as long as it runs
+    atexit.register(shutil.rmtree, folder, True)
+    lexicon = os.path.join(folder, f"lexicon-{uuid.uuid4().hex}.bin")
+    with open(lexicon, "wb") as f:
         f.write(packed)
-    os.replace(path + ".part", path)
-    return path
+    spark.sparkContext.addFile(lexicon)
+    with open(vocabulary, "rb") as f:
+        ranks = os.path.join(folder, f"{xxhash.xxh3_64_hexdigest(f.read())}-{os.path.basename(vocabulary)}")
+    sent = (spark.sparkContext.applicationId, os.path.basename(ranks))
+    if sent not in _SENT:
+        shutil.copyfile(vocabulary, ranks)
+        spark.sparkContext.addFile(ranks)
+        _SENT.add(sent)
+    return os.path.basename(lexicon), os.path.basename(ranks)
 
 
 class Encoder:
@@ -228,17 +238,17 @@ class Encoder:
 
     _open: dict = {}
 
-    def __init__(self, source: str | bytes, vocabulary: str):
-        self.lexicon, self.ranks = Lexicon.open(source), read_ranks(vocabulary)
+    def __init__(self, lexicon: Lexicon, ranks: dict[bytes, int]):
+        self.lexicon, self.ranks = lexicon, ranks
         self.split = regex.compile(PATTERN).findall
         self.known: dict[str, list[int]] = {}
 
     @classmethod
-    def of(cls, source: str | bytes, vocabulary: str) -> Encoder:
-        key = (source if isinstance(source, str) else len(source), vocabulary)
-        if key not in cls._open:
-            cls._open = {key: cls(source, vocabulary)}
-        return cls._open[key]
+    def of(cls, names: tuple[str, str]) -> Encoder:
+        """From the names that ``publish`` gave; the automaton is mapped into memory."""
+        if names not in cls._open:
+            cls._open = {names: cls(Lexicon.open(SparkFiles.get(names[0])), read_ranks(SparkFiles.get(names[1])))}
+        return cls._open[names]
 
     def learn(self, fresh: list[str]) -> None:
         if len(self.known) + len(fresh) > CACHED_WORDS:
@@ -263,10 +273,10 @@ class Encoder:
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """(key, ids array<int>) of every row of ``df``, one pass over the texts after the word count."""
-    source = publish(df.sparkSession, build_lexicon(df, text, vocabulary, lexicon_words).pack())
+    source = publish(df.sparkSession, build_lexicon(df, text, vocabulary, lexicon_words).pack(), vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder.of(source, vocabulary)
+        coder = Encoder.of(source)
         for b in slices(batches):
             ids, lengths = coder.encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(key), lists(ids, lengths, pa.int32())], [key, "ids"])
@@ -277,10 +287,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """(key, n_tokens bigint) of every row, by the same encoder."""
-    source = publish(df.sparkSession, build_lexicon(df, text, vocabulary, lexicon_words).pack())
+    source = publish(df.sparkSession, build_lexicon(df, text, vocabulary, lexicon_words).pack(), vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder.of(source, vocabulary)
+        coder = Encoder.of(source)
         for b in slices(batches):
             _, lengths = coder.encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(lengths, pa.int64())], [key, "n_tokens"])
