@@ -6,8 +6,8 @@ subjects; each subject has an independent logistic output. The model is trained
 hand, split over partitions: in each round every partition computes the gradient of its passages, the
 gradients are summed and one step is taken for all. As all outputs are linear in the words, a word's
 share in each output is computed once, and a sentence costs one look-up a word. Every
-sentence of every text is given to a subject, in doubt to the one its text as a whole speaks
-for, and a text has each subject that holds at least ``SHARE`` of its sentences.
+sentence of every text is given to each subject whose own output says so, to several, one or none, with some weight to
+what that output says of the text as a whole; a text has each subject that is given at least ``SHARE`` of its sentences.
 
 Bounds: at most ``MOST_SAMPLE`` reviewed texts are fitted; the table has 2 * BUCKETS rows.
 
@@ -40,8 +40,8 @@ PARTS = 4
 MOST_SAMPLE = 20_000
 UNKNOWN = 0.1
 SHARE = 0.2
-SURE = 1.5
 LEAN = 0.5
+YES = -0.7  # a logistic output of a third
 LEAST_WORDS = 4
 MOST_WORDS = 45
 CACHED = 300_000
@@ -235,12 +235,11 @@ class Scorer:
         return out
 
     def assign(self, z: np.ndarray) -> list[str]:
-        """Subjects that hold their share of the sentences; a sentence that no output is sure of leans on the whole text."""
+        """Subjects that are given their share of the sentences. Each output decides for itself, leaning on what it says of the whole text."""
         if not len(z):
             return []
-        pick = np.where(z.max(axis=1) > SURE, z.argmax(axis=1), (z + LEAN * z.mean(axis=0)).argmax(axis=1))
-        counts = np.bincount(pick, minlength=self.n)
-        return [self.m["names"][k] for k in np.flatnonzero(counts >= SHARE * len(z))]
+        given = (z + LEAN * z.mean(axis=0) >= YES).sum(axis=0)
+        return [self.m["names"][k] for k in np.flatnonzero(given >= SHARE * len(z))]
 
 
 def subjects(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
