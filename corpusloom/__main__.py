@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from .plans.pipeline import Pipeline
 
-STAGES = ("inventory", "ingest", "chunk", "embed", "index", "search", "status", "run")
+STAGES = ("inventory", "probe", "ingest", "chunk", "embed", "index", "search", "status", "artifacts", "compact-state", "reset", "run")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,6 +23,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--top-k", type=int, default=10)
     p.add_argument("--candidates", type=int, default=50)
     p.add_argument("--held-out", action="append", help="a source kept out of the index; may be given again")
+    p.add_argument("--resume", action="store_true", help="ingest only inputs that the ledger lacks")
+    p.add_argument("--delete-documents", action="store_true", help="drop the documents once their chunks are written")
+    p.add_argument("--yes", action="store_true", help="agree to reset")
     return p
 
 
@@ -33,9 +36,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if args.stage == "inventory":
         p.inventory().show(1000, False)
     if args.stage in ("ingest", "run"):
-        p.ingest(args.source)
+        p.ingest(args.source, args.resume)
     if args.stage in ("chunk", "run"):
-        p.chunk()
+        p.chunk(args.delete_documents)
     if args.stage in ("embed", "run"):
         p.embed()
     if args.stage in ("index", "run"):
@@ -43,6 +46,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if args.stage == "search":
         found = p.search(args.query, args.top_k, args.candidates, args.mode, sources=args.source)
         found.select("query_id", "rank", "rrf_score", "chunk_id", "title", "text").orderBy("query_id", "rank").show(args.top_k * max(1, len(args.query)), 120)
+    if args.stage in ("probe", "artifacts"):
+        getattr(p, args.stage)().show(1000, False)
+    if args.stage == "compact-state":
+        p.compact()
+    if args.stage == "reset":
+        p.reset(args.yes)
     if args.stage in ("status", "run"):
         p.status().show(1000, False)
 

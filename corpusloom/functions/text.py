@@ -108,27 +108,39 @@ def query_terms(c: Column) -> Column:
 
 def byte_count(c: Column) -> Column:
     """``1.5GB`` or ``2 KiB`` as bytes; null where it isn't a size."""
-    form = r"(?i)^\s*(\d+(?:\.\d+)?)\s*([kmgt]?i?b)?\s*$"
-    unit = F.lower(F.regexp_extract(c, form, 2))
-    factors = F.create_map(*[F.lit(x) for kv in SIZE_UNITS.items() for x in kv])
-    number = F.nullif(F.regexp_extract(c, form, 1), F.lit("")).cast("double")
-    return F.floor(number * F.try_element_at(factors, F.when(unit == "", "b").otherwise(unit))).cast("long")
+    given = F.lower(strip(c))
+    number = F.regexp_extract(given, r"^[0-9]+([.][0-9]+)?", 0)
+    unit = strip(F.substr(given, F.length(number) + 1))
+    factors = F.create_map(*[F.lit(x) for kv in (SIZE_UNITS | {"": 1}).items() for x in kv])
+    return F.floor(F.nullif(number, F.lit("")).cast("double") * F.try_element_at(factors, unit)).cast("long")
 
 
 def checksum_line(c: Column) -> Column:
-    """A checksum-file line as (name, algorithm, digest); null where it isn't one."""
-    form = r"^([a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\s+[* ]?(.+?)\s*$"
-    found = F.lower(F.regexp_extract(c, form, 1))
-    kind = F.when(F.length(found) == 32, DIGEST_KINDS[32]).when(F.length(found) == 40, DIGEST_KINDS[40]).when(F.length(found) == 64, DIGEST_KINDS[64])
-    name = F.element_at(F.split(F.regexp_extract(c, form, 2), "/"), -1)
-    return F.when(found != "", F.struct(name.alias("name"), kind.alias("algorithm"), found.alias("digest")))
+    """A checksum-file line, digest first, then the name, as (name, algorithm, digest); null where it isn't one."""
+    parts = F.split(strip(c), r"\s+", 2)
+    found = F.lower(parts[0])
+    kinds = F.create_map(*[F.lit(x) for kv in DIGEST_KINDS.items() for x in kv])
+    kind = F.try_element_at(kinds, F.length(found))
+    path = F.regexp_replace(F.get(parts, F.lit(1)), "^[*]", "")
+    fine = found.rlike("^[0-9a-f]+$") & kind.isNotNull() & (F.length(path) > 0)
+    return F.when(fine, F.struct(F.substring_index(path, "/", -1).alias("name"), kind.alias("algorithm"), found.alias("digest")))
 
 
 def plain_markup(c: Column) -> Column:
     """HTML as plain text: scripts, styles and tags off, white space collapsed."""
-    for form in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"<[^>]+>"):
-        c = F.regexp_replace(c, form, " ")
-    return strip(F.regexp_replace(repair(c), r"\s+", " "))
+    return strip(F.regexp_replace(repair(F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>|<[^>]+>", " ")), r"\s+", " "))
+
+
+def multimap(pairs: Column) -> Column:
+    """Array of (key, value) as key -> values, both in order of appearance."""
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"])))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Map ``a`` with the entries of ``b`` put over it."""
+    kept = F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k))
+    return F.map_concat(kept, b)
 
 
 def cc_licenses(links: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip, unix_lines, words
 
@@ -39,29 +43,96 @@ def windows(n: Column, budget: Column, minimum: int, overlap: int) -> Column:
     return F.when(n <= budget, F.array(pair(F.lit(0), n))).otherwise(F.concat(regular, tail))
 
 
-def chunk(df: DataFrame, minimum: int = MINIMUM, target: int = TARGET, maximum: int = MAXIMUM, overlap: int = OVERLAP, key: str = "document_id", title: str = "title") -> DataFrame:
-    """df's documents as chunks: chunk_id, ordinal, section, token_count, text; a chunk carries title and heading.
+@dataclass(frozen=True)
+class Tokenizer:
+    """What counts and cuts texts in place of runs without white space.
 
-    A section that fits under ``maximum`` with its prefix stays whole; others are cut by ``windows``.
+    ``spans`` gives (begin, end) of each token of a text; a tokenizer that can't tell gives ``encode``, the ids of a text, and
+    ``decode``, the text of some ids. All three are plain functions of one text, run in Arrow batches.
+    """
+
+    spans: Callable[[str], list[tuple[int, int]]] | None = None
+    encode: Callable[[str], list[int]] | None = None
+    decode: Callable[[list[int]], str] | None = None
+
+    def _mapped(self, f: Callable, kind: T.DataType) -> Callable[[Column], Column]:
+        each = F.pandas_udf(lambda s: s.map(lambda texts: None if texts is None else [f(x) for x in texts]), T.ArrayType(kind))
+        return each.asNondeterministic()  # so that it is called once, not wherever its column is used
+
+    def counts(self, texts: Column) -> Column:
+        one = self.spans or self.encode
+        return self._mapped(lambda x: len(one(x)), T.IntegerType())(texts)
+
+    def offsets(self, texts: Column) -> Column:
+        pair = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
+        return self._mapped(lambda x: [{"begin": a, "end": b} for a, b in self.spans(x)], T.ArrayType(pair))(texts)
+
+    def ids(self, texts: Column) -> Column:
+        return self._mapped(lambda x: list(self.encode(x)), T.ArrayType(T.IntegerType()))(texts)
+
+    def texts(self, ids: Column) -> Column:
+        return self._mapped(lambda x: self.decode([int(i) for i in x]), T.StringType())(ids)
+
+
+def _sectioned(df: DataFrame, title: str, text: str) -> Column:
+    """Array of (section, body, prefix) of a row."""
+    marked = F.regexp_replace(unix_lines(F.col(text)), r"(?dm)^##\s+(.+?)\s*$", f"{_MARK}$1{_END}")
+    headed = lambda p: F.struct(F.substring_index(p, _END, 1).alias("section"), strip(F.substring_index(p, _END, -1)).alias("body"))
+    plain = lambda p: F.struct(F.lit(None).cast("string").alias("section"), strip(p).alias("body"))
+    each = F.transform(F.split(marked, _MARK), lambda p, i: F.when(i > 0, headed(p)).otherwise(plain(p)))
+    kept = F.when(F.size(each) == 1, each).otherwise(F.filter(each, lambda s: s["body"] != ""))
+    own = lambda s: F.when(s["section"].isNotNull() & (F.lower(s["section"]) != F.lower(title)), F.concat(F.lit("\n\n"), s["section"])).otherwise("")
+    return F.transform(kept, lambda s: F.struct(s["section"].alias("section"), s["body"].alias("body"), F.concat(F.col(title), own(s), F.lit("\n\n")).alias("prefix")))
+
+
+def chunk(df: DataFrame, minimum: int = MINIMUM, target: int = TARGET, maximum: int = MAXIMUM, overlap: int = OVERLAP, key: str = "document_id", title: str = "title", text: str = "text", tokenizer: Tokenizer | None = None) -> DataFrame:
+    """df's rows as chunks, with their other columns: chunk_id, ordinal, section, token_count and text; a chunk carries title and heading.
+
+    A section that fits under ``maximum`` with its prefix stays whole; others are cut by ``windows``. All of it happens
+    within the row, so nothing is shuffled and rows that share an id are numbered apart.
     """
     if not 0 <= overlap < target <= maximum:
         raise ValueError("chunk sizes must satisfy 0 <= overlap < target <= maximum")
-    own = F.when(F.col("section").isNotNull() & (F.lower("section") != F.lower(title)), F.concat(F.lit("\n\n"), "section")).otherwise("")
-    rows = sections(df.withColumnRenamed("section", "_document_section") if "section" in df.columns else df, key)
-    rows = rows.withColumn("prefix", F.concat(F.col(title), own, F.lit("\n\n")))
-    rows = rows.withColumn("used", F.size(words(F.col("prefix")))).withColumn("pieces", F.regexp_extract_all("body", F.lit(r"\S+\s*"), F.lit(0)))
-    n = F.size("pieces")
-    budget = F.greatest(F.lit(1), F.lit(target) - F.col("used"))
-    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))
-    rows = rows.withColumn("n", n).withColumn("w", F.when(F.col("used") + n <= maximum, whole).otherwise(windows(n, budget, minimum, overlap)))
-    cut = rows.select("*", F.posexplode("w").alias("window_no", "win"))
-    passage = strip(F.array_join(F.slice("pieces", F.col("win.start") + 1, F.col("win.end") - F.col("win.start")), ""))
-    cut = cut.withColumn("_text", strip(F.concat("prefix", passage)))
-    ordinal = F.row_number().over(Window.partitionBy(key).orderBy("section_no", "window_no"))
-    out = cut.withColumn("ordinal", ordinal).withColumn("token_count", F.size(words(F.col("_text"))))
-    name = F.concat(F.lit("chunk:"), F.substring(F.sha2(F.concat(F.col(key), F.char(F.lit(0)), F.col("ordinal").cast("string"), F.char(F.lit(0)), F.col("_text")), 256), 1, 24))
-    section = F.coalesce("section", F.col("_document_section")) if "section" in df.columns else F.col("section")
-    return out.select(key, name.alias("chunk_id"), "ordinal", section.alias("section"), "token_count", F.col("_text").alias("text"))
+    rows = df.withColumn("_s", _sectioned(df, title, text))
+
+    def cuts(used: Column, n: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("start"), n.cast("int").alias("end")))
+        return F.when(used + n <= maximum, whole).otherwise(windows(n, F.greatest(F.lit(1), F.lit(target) - used), minimum, overlap))
+
+    def made(s: Column, passage: Column) -> Column:
+        return F.struct(s["section"].alias("section"), strip(F.concat(s["prefix"], passage)).alias("text"))
+
+    if tokenizer is None:
+
+        def of(s: Column) -> Column:
+            taken = F.array(F.struct(F.regexp_extract_all(s["body"], F.lit(r"\S+\s*"), F.lit(0)).alias("t"), F.size(words(s["prefix"])).alias("used")))  # an array of one, so that it is made once
+            return F.flatten(F.transform(taken, lambda x: F.transform(cuts(x["used"], F.size(x["t"])), lambda w: made(s, strip(F.array_join(F.slice(x["t"], w["start"] + 1, w["end"] - w["start"]), ""))))))
+
+        rows = rows.withColumn("_c", F.flatten(F.transform("_s", of)))
+    else:
+        rows = rows.withColumn("_used", tokenizer.counts(F.col("_s.prefix"))).withColumn("_t", (tokenizer.offsets if tokenizer.spans else tokenizer.ids)(F.col("_s.body")))
+        rows = rows.withColumn("_w", F.transform("_s", lambda s, i: cuts(F.get("_used", i), F.size(F.get("_t", i)))))
+        if tokenizer.spans:
+
+            def passage(s: Column, t: Column, w: Column, used: Column) -> Column:
+                begin, end = F.get(t, w["start"])["begin"], F.get(t, w["end"] - 1)["end"]
+                back = F.length(F.regexp_extract(F.substr(s["body"], F.lit(1), begin), r"\S*\z", 0))  # to the begin of the word
+                return F.when(used + F.size(t) <= maximum, s["body"]).otherwise(F.substr(s["body"], begin - back + 1, end - begin + back))
+
+            pieces = F.transform("_s", lambda s, i: F.transform(F.get("_w", i), lambda w: made(s, passage(s, F.get("_t", i), w, F.get("_used", i)))))
+            rows = rows.withColumn("_c", F.flatten(pieces))
+        else:
+            ids = F.flatten(F.transform("_w", lambda ws, i: F.transform(ws, lambda w: F.slice(F.get("_t", i), w["start"] + 1, w["end"] - w["start"]))))
+            place = F.flatten(F.transform("_w", lambda ws, i: F.transform(ws, lambda w: F.struct(i.alias("i"), (F.get("_used", i) + F.size(F.get("_t", i)) <= maximum).alias("whole")))))
+            rows = rows.withColumn("_p", tokenizer.texts(ids)).withColumn("_at", place)
+            rows = rows.withColumn("_c", F.zip_with("_at", "_p", lambda a, p: made(F.get("_s", a["i"]), F.when(a["whole"], F.get("_s", a["i"])["body"]).otherwise(p))))
+    kept = [c for c in df.columns if c not in (text, "section")]
+    fallback = [F.col("section").alias("_section")] if "section" in df.columns else []
+    out = rows.select(*kept, *fallback, F.posexplode("_c").alias("_at", "_c")).withColumn("ordinal", F.col("_at") + 1)
+    count = F.size(words(F.col("_c.text"))) if tokenizer is None else F.get(tokenizer.counts(F.array("_c.text")), F.lit(0))
+    name = F.concat(F.lit("chunk:"), F.substring(F.sha2(F.concat(F.col(key), F.char(F.lit(0)), F.col("ordinal").cast("string"), F.char(F.lit(0)), F.col("_c.text")), 256), 1, 24))
+    section = F.coalesce("_c.section", "_section") if fallback else F.col("_c.section")
+    return out.select(*kept, name.alias("chunk_id"), "ordinal", section.alias("section"), count.alias("token_count"), F.col("_c.text").alias("text"))
 
 
 def keep_sized(chunks: DataFrame, least: int = 32) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BOILERPLATE_HEADINGS, nfkc, repair, squeeze, strip, unix_lines
@@ -33,12 +33,18 @@ def is_contents():
     return F.lower("line").isin("contents", "table of contents")
 
 
-def clean(df: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
-    """(key, text): repaired text without boilerplate tails, address-only lines and contents lines."""
-    every = lines(df.select(key, squeeze(repair(F.col(text))).alias(text)), key, text)
-    kept = tail_marked(every, key).where(~F.col("in_tail") & ~is_address() & ~is_contents())
-    parts = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return parts.select(key, strip(F.regexp_replace(F.array_join(F.col("l.line"), "\n"), "\n{3,}", "\n\n")).alias(text))
+def without_boilerplate(text: Column) -> Column:
+    """Squeezed text without tails, address-only lines and contents lines, within the row: a tail goes from its heading's line to the
+    next second-level heading that opens none."""
+    heading = "[# ]*(?:" + "|".join(BOILERPLATE_HEADINGS) + ")$"
+    out = F.regexp_replace(text, rf"(?dims)^{heading}.*?(?=^## (?!{heading})|\z)", "")
+    out = F.regexp_replace(out, r"(?dmi)^(?:https?://\S+|(?:table of )?contents)(?:\n|\z)", "")
+    return strip(F.regexp_replace(out, "\n{3,}", "\n\n"))
+
+
+def clean(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with text repaired and without boilerplate; rows are cleaned apart, whatever ids they share."""
+    return df.withColumn(text, without_boilerplate(squeeze(repair(F.col(text)))))
 
 
 def clean_structured(df: DataFrame, text: str = "text") -> DataFrame:

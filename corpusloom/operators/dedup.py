@@ -18,19 +18,30 @@ def length_gate(df: DataFrame, text: str = "text", least: int = 200) -> DataFram
     return df.withColumn("rejected", F.when(F.coalesce(F.length(text), F.lit(0)) < least, "too_short"))
 
 
-def paragraph_dedup(df: DataFrame, order: list[str], key: str = "document_id", scope: str = "source_id", text: str = "text", least: int = 180) -> DataFrame:
+def paragraph_dedup(df: DataFrame, order: list[str], key: str = "document_id", scope: str = "source_id", text: str = "text", least: int = 180, seen: DataFrame | None = None) -> DataFrame:
     """(key, text, removed): long paragraphs kept where they come first in their scope, short ones always, joined again in order.
 
-    The first place of each paragraph is a combinable minimum joined back, not a window over all its places.
+    The first place of each paragraph is a combinable minimum joined back, not a window over all its places. Paragraphs that
+    ``seen(kind, digest, owner)`` has of other inputs are dropped too; the row's own input is its source_path.
     """
-    parts = df.select(key, scope, *[c for c in order if c not in (key, scope)], F.posexplode(paragraphs(F.col(text))).alias("at", "p"))
+    own = ["source_path"] if seen is not None else []
+    parts = df.select(key, scope, *dict.fromkeys(c for c in [*order, *own] if c not in (key, scope)), F.posexplode(paragraphs(F.col(text))).alias("at", "p"))
     parts = parts.withColumn("long", F.length("p") >= least).withColumn("d", digest(F.col("p"))).withColumn("place", F.struct(*order, key, "at"))
     first = parts.where("long").groupBy(scope, "d").agg(F.min("place").alias("first"))
     marked = parts.join(first, [scope, "d"], "left").withColumn("keep", ~F.col("long") | (F.col("place") == F.col("first")))
+    if seen is not None:
+        new = unseen(marked.where("long and keep"), seen, F.concat(F.lit("paragraph:"), scope), F.col("d"), "source_path").select(key, "at", F.lit(True).alias("new"))
+        marked = marked.join(new, [key, "at"], "left").withColumn("keep", F.col("keep") & (~F.col("long") | F.coalesce("new", F.lit(False))))
     kept = F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("at", "p"))))
     return marked.groupBy(key).agg(kept.alias("k"), F.count_if(~F.col("keep")).alias("removed")).select(key, F.array_join("k.p", "\n\n").alias("text"), "removed")
 
 
+def paragraph_marks(df: DataFrame, least: int, scope: str = "source_id", text: str = "text") -> DataFrame:
+    """(kind, digest, owner) of the long paragraphs of df, once an input."""
+    each = df.select(scope, "source_path", F.explode(paragraphs(F.col(text))).alias("p")).where(F.length("p") >= least)
+    return each.select(F.concat(F.lit("paragraph:"), scope).alias("kind"), digest(F.col("p")).alias("digest"), F.col("source_path").alias("owner")).distinct()
+
+
 def unseen(df: DataFrame, fingerprints: DataFrame, kind: Column, fingerprint: Column, owner: str) -> DataFrame:
     """Rows whose (kind, digest) no other input has left in ``fingerprints(kind, digest, owner)``; an input's own rows don't count."""
     seen = fingerprints.select(F.col("kind").alias("_k"), F.col("digest").alias("_d"), F.col("owner").alias("_o"))

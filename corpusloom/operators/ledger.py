@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import micros
+from .dedup import first_wins
+from .planning import placed
 
 
 def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """One row for each key, the last by ``order``, nulls first; combined in each task before the shuffle."""
-    others = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+    """One row for each key, the last by ``order``, nulls first. Rows are limited in each task before the shuffle, so a hot
+    key moves one row a task, and only columns that are used later are read."""
+    return first_wins(df, keys, *[F.col(c).desc_nulls_last() for c in order])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], refresh: list[str], fill: list[str], keep: list[str]) -> DataFrame:
@@ -45,8 +47,7 @@ def resume(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def running_budget(df: DataFrame, scope: list[str], order: list[str], size: str, cap: int) -> DataFrame:
     """df with used, the running sum within the scope, and fits: whether it is still under the cap."""
-    so_far = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(size).over(so_far)).withColumn("fits", F.col("used") <= cap)
+    return placed(df, scope, order, size).withColumnRenamed("_sum", "used").drop("_at").withColumn("fits", F.col("used") <= cap)
 
 
 def gaps(segments: DataFrame, key: str, start: str, count: str) -> DataFrame:
@@ -84,3 +85,30 @@ def enrich(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     acquired = F.to_json(F.struct(F.col("m.status").alias("status"), F.col("m.sha256").alias("sha256"), F.col("m.actual_bytes").alias("bytes"), F.get_json_object("m.metadata", "$.license_state").alias("license_state")))
     rows = documents.withColumn("_url", F.col("url")).withColumn("_license", F.col("license_id")).drop("url", "license_id").join(last, F.col("source_path") == F.col("path_key"), "left")
     return rows.withColumn("url", F.coalesce("_url", "m.url")).withColumn("license_id", F.coalesce(own, "_license")).withColumn("acquisition", F.when(F.col("m").isNotNull(), acquired)).drop("_url", "_license", "path_key", "m")
+
+
+def first_reason(reasons: dict[str, Column], otherwise: str = "accepted") -> Column:
+    """The name of the first condition that holds, in the order given; null conditions don't hold."""
+    out = None
+    for name, met in reasons.items():
+        out = F.when(met, name) if out is None else out.when(met, name)
+    return out.otherwise(otherwise)
+
+
+def changed_fields(rows: DataFrame, changes: DataFrame, keys: list[str], allowed: list[str], by: str) -> DataFrame:
+    """``rows`` after ``changes(keys, field, value, by)``: the last value of each field of each row; fields outside ``allowed`` are an error."""
+    other = changes.where(~F.col("field").isin(allowed)).select("field").limit(1).collect()
+    if other:
+        raise ValueError(f"not a field that may change: {other[0].field}")
+    last = [F.max_by(F.struct("value"), F.when(F.col("field") == c, F.col(by))).alias(f"_{c}") for c in allowed]
+    new = changes.groupBy(*keys).agg(*last)
+    pick = [F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.value").cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in allowed else F.col(c) for c in rows.columns]
+    return rows.join(new, keys, "left").select(*pick)
+
+
+def compared(rows: DataFrame, sums: DataFrame, name: str, checksum: str) -> DataFrame:
+    """``rows`` with verdict: same, other, unknown (no checksum of their own) or unlisted, by the lines ``sums(name, digest)`` of checksum files."""
+    listed = sums.groupBy(F.col("name").alias(name)).agg(F.min(F.lower("digest")).alias("_listed"))
+    own = F.lower(checksum)
+    verdict = first_reason({"unlisted": F.col("_listed").isNull(), "unknown": own.isNull(), "same": own == F.col("_listed")}, "other")
+    return rows.join(listed, name, "left").withColumn("verdict", verdict).drop("_listed")

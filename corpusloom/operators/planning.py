@@ -2,49 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 
 DIMENSIONS = 768
 
 
+def placed(df: DataFrame, scope: list[str], order: list[str], size: str | None = None) -> DataFrame:
+    """df with _at, the row's number in its scope from 1, and, where a size is named, _sum, the sizes up to it added.
+
+    Rows are dealt by ranges of scope and order, so a scope that holds most rows is spread over tasks; each range counts its
+    own, and what those before it hold (a row a range and scope) is added.
+    """
+    keyed = df.withColumn("_scope", F.to_json(F.struct(*scope)))
+    ranged = cut(keyed.repartitionByRange(*scope, *order).withColumn("_part", F.spark_partition_id()))  # partitions must not change between the uses
+    n = F.coalesce(F.col(size), F.lit(0)).cast("long") if size else F.lit(0).cast("long")
+    before = Window.partitionBy("_scope").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = ranged.groupBy("_part", "_scope").agg(F.count(F.lit(1)).alias("_c"), F.sum(n).alias("_s"))
+    offsets = held.select("_part", "_scope", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s"))
+    local = Window.partitionBy("_part", "_scope").orderBy(*order)
+    own = ranged.withColumn("_at", F.row_number().over(local)).withColumn("_sum", F.sum(n).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    out = own.join(offsets, ["_part", "_scope"]).withColumn("_at", F.col("_at") + F.col("_c")).withColumn("_sum", F.col("_sum") + F.col("_s"))
+    return out.drop("_part", "_scope", "_c", "_s", *([] if size else ["_sum"]))
+
+
 def batches(df: DataFrame, scope: list[str], order: list[str], size: int, item: str) -> DataFrame:
     """(scope, batch, items): fixed-size batches in order."""
-    at = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
-    numbered = df.withColumn("_at", at).withColumn("batch", F.floor((F.col("_at") - 1) / size))
+    at = placed(df.select(*dict.fromkeys([*scope, *order, item])), scope, order).withColumn("batch", F.floor((F.col("_at") - 1) / size))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("_at", item))), lambda s: s[item])
-    return numbered.groupBy(*scope, "batch").agg(ordered.alias("items"))
+    return at.groupBy(*scope, "batch").agg(ordered.alias("items"))
 
 
 def segments(df: DataFrame, scope: list[str], order: list[str], most: int) -> DataFrame:
     """(scope, segment, original_start, rows): row-capped splits and where each begins."""
-    at = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
-    numbered = df.select(*scope, at.alias("_at")).withColumn("segment", F.floor((F.col("_at") - 1) / most))
-    return numbered.groupBy(*scope, "segment").agg((F.min("_at") - 1).cast("long").alias("original_start"), F.count(F.lit(1)).alias("rows"))
+    at = placed(df.select(*scope, *order), scope, order).withColumn("segment", F.floor((F.col("_at") - 1) / most))
+    return at.groupBy(*scope, "segment").agg((F.min("_at") - 1).cast("long").alias("original_start"), F.count(F.lit(1)).alias("rows"))
 
 
-def next_fit(df: DataFrame, scope: list[str], order: list[str], size: str, most: int) -> DataFrame:
+def next_fit(df: DataFrame, scope: list[str], order: list[str], size: str, most: int, name: str = "job") -> DataFrame:
     """df with job: a new job begins where the running one isn't empty and would exceed ``most``.
 
-    The fold has to see the items of a scope in order, so they are gathered as (order, size) pairs: tasks of capped
-    size, few beside the rows they stand for.
+    Where a job begins depends on all before it, so the rows of a scope are read in order by one task, which holds one batch of
+    them at a time. They are tasks or files of capped size, few beside the rows they stand for.
     """
-    item = F.struct(*order, F.col(size).alias("_n"))
-    folded = df.groupBy(*scope).agg(F.sort_array(F.collect_list(item)).alias("_i"))
-    start = F.struct(F.lit(0).alias("job"), F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("jobs"))
+    rows = df.repartition(*scope).sortWithinPartitions(*scope, *order)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, job, used = None, 0, 0
+        for b in found:
+            jobs = []
+            for k, n in zip(zip(*(b.column(c).to_pylist() for c in scope)), b.column(size).to_pylist()):
+                n = n or 0
+                if k != key:
+                    key, job, used = k, 0, 0
+                elif used > 0 and used + n > most:
+                    job, used = job + 1, 0
+                used += n
+                jobs.append(job)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(jobs, pa.int32())], [*b.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.IntegerType())]))
 
-    def put(acc: Column, x: Column) -> Column:
-        over = (acc["n"] > 0) & (acc["n"] + x["_n"] > most)
-        job = F.when(over, acc["job"] + 1).otherwise(acc["job"])
-        n = F.when(over, x["_n"]).otherwise(acc["n"] + x["_n"]).cast("long")
-        return F.struct(job.alias("job"), n.alias("n"), F.concat(acc["jobs"], F.array(job)).alias("jobs"))
 
-    out = folded.withColumn("_j", F.aggregate("_i", start, put)["jobs"]).select(*scope, F.explode(F.arrays_zip("_i", "_j")).alias("z"))
-    return out.select(*scope, *[F.col(f"z._i.{c}").alias(c) for c in order], F.col("z._i._n").alias(size), F.col("z._j").alias("job"))
+def job_records(packed: DataFrame, scope: str, size: str) -> DataFrame:
+    """(job, tasks, chunks, per_source) of ``next_fit`` over all: what each job holds, and of which sources."""
+    each = packed.groupBy("job", scope).agg(F.count(F.lit(1)).alias("t"), F.sum(size).alias("c"))
+    per = F.map_from_entries(F.sort_array(F.collect_list(F.struct(scope, "c"))))
+    return each.groupBy("job").agg(F.sum("t").alias("tasks"), F.sum("c").alias("chunks"), per.alias("per_source"))
 
 
 def date_windows(spark: SparkSession, first: date, last: date, days: int = 7) -> DataFrame:
@@ -92,13 +123,19 @@ def profile_plan(by_source: DataFrame, profiles: DataFrame, rate: float = 100.0,
     )
 
 
-def reachable(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(url, depth): pages reached from the seeds, each at its least number of steps; one join a step."""
+def reachable(links: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """(url, depth): pages reached from the seeds, each once and at its least number of steps; one join a step. With ``most``, a crawl's
+    limit of pages, those of a step in order of their address as far as they fit."""
     step = links.select(F.col("source").alias("url"), F.col("target").alias("next"))
     seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     edge = seen
+    room = None if most is None else most - seen.count()
     for k in range(1, depth + 1):
+        if room is not None and room <= 0:
+            break
         ahead = edge.select("url").join(step, "url").select(F.col("next").alias("url")).distinct()
-        edge = cut(ahead.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(k)))
+        fresh = ahead.join(seen.select("url"), "url", "left_anti")
+        edge = cut((fresh if room is None else fresh.orderBy("url").limit(room)).withColumn("depth", F.lit(k)))
+        room = None if room is None else room - edge.count()
         seen = seen.unionByName(edge)
     return seen

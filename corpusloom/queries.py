@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import chunking, cleaning, dedup, ledger, planning, retrieval
-from .session import table
+from .session import cut, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -39,8 +39,10 @@ def query(sql: str | None = None):
     return add
 
 
-def docs(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.last_wins(table(spark, d, "corpus_document").where(F.col("document_id").isNotNull()), ["document_id"], "ingested_at")
+def docs(spark: SparkSession, d: str, **made: Column) -> DataFrame:
+    """The last delivery of each document. What is ``made`` of a row, say the length of its text, is made before rows are chosen, so
+    that texts which nothing else needs are not shuffled."""
+    return ledger.last_wins(table(spark, d, "corpus_document").where(F.col("document_id").isNotNull()).withColumns(made), ["document_id"], "ingested_at")
 
 
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +71,8 @@ def src_inventory(spark, d):
 @query(f"""WITH {DOC}, first AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY source_path, document_id) AS r FROM doc)
 SELECT source_id, document_id, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN length(text) < 200 THEN 'short' ELSE 'ok' END AS status FROM first WHERE r = 1""")
 def src_probe(spark, d):
-    first = dedup.first_wins(docs(spark, d), ["source_id"], "source_path", "document_id")
-    status = F.when(F.coalesce("text", F.lit("")) == "", "empty").when(F.length("text") < 200, "short").otherwise("ok")
+    first = dedup.first_wins(docs(spark, d, n=F.coalesce(F.length("text"), F.lit(0))), ["source_id"], "source_path", "document_id")
+    status = F.when(F.col("n") == 0, "empty").when(F.col("n") < 200, "short").otherwise("ok")
     return first.select("source_id", "document_id", status.alias("status"))
 
 
@@ -148,8 +150,8 @@ def prj_review_chain(spark, d):
 
 @query(f"WITH {DOC} SELECT document_id, source_id, 'too_short' AS reason, coalesce(length(text), 0) AS original_chars FROM doc WHERE coalesce(length(text), 0) < 200")
 def flt_min_doc(spark, d):
-    gated = dedup.length_gate(docs(spark, d)).where(F.col("rejected").isNotNull())
-    return gated.select("document_id", "source_id", F.col("rejected").alias("reason"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("original_chars"))
+    gated = docs(spark, d, n=F.coalesce(F.length("text"), F.lit(0)).cast("long")).where("n < 200")
+    return gated.select("document_id", "source_id", F.lit("too_short").alias("reason"), F.col("n").alias("original_chars"))
 
 
 @query(f"WITH {CHUNK} SELECT source_id, count(*) AS chunks FROM chunk WHERE NOT (token_count < 32 AND category <> 'knowledge_base') GROUP BY 1")
@@ -157,12 +159,6 @@ def flt_min_chunk(spark, d):
     return chunking.keep_sized(chunk_rows(spark, d)).groupBy("source_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query(f"WITH {DOC} SELECT document_id FROM doc WHERE source_id NOT IN (SELECT source_id FROM doc WHERE category = 'qa' OR source_id LIKE '%qa%')")
-def flt_qa_exclude(spark, d):
-    rows = docs(spark, d)
-    held = rows.where("category = 'qa' or source_id like '%qa%'").select("source_id").distinct()
-    return rows.join(held, "source_id", "left_anti").select("document_id")
-
 
 @query(r"SELECT DISTINCT source_id, filename FROM manifest_file WHERE regexp_matches(filename, '(?i)p0[0-9]_') AND NOT regexp_matches(filename, '(?i)\.(tmp|part)$')")
 def flt_index_name(spark, d):
@@ -170,12 +166,6 @@ def flt_index_name(spark, d):
     return table(spark, d, "manifest_file").where(keep).select("source_id", "filename").distinct()
 
 
-@query(f"""WITH {DOC}, line AS (SELECT document_id, unnest(string_split({LINES.format('text')}, chr(10))) AS l FROM doc)
-SELECT document_id, count(*) AS dropped FROM (SELECT document_id, {STRIP.format('l')} AS l FROM line) WHERE regexp_matches(l, '(?i)^https?://\\S+$') OR lower(l) IN ('contents', 'table of contents') GROUP BY 1""")
-def flt_url_line(spark, d):
-    every = cleaning.lines(docs(spark, d)).where(cleaning.is_address() | cleaning.is_contents())
-    return every.groupBy("document_id").agg(F.count(F.lit(1)).alias("dropped"))
-
 
 @query("SELECT pmid FROM pubmedqa_item WHERE long_answer IS NOT NULL AND long_answer <> '' AND len(contexts) > 0")
 def flt_abstract(spark, d):
@@ -211,16 +201,6 @@ def jn_dense_map(spark, d):
     return table(spark, d, "dense_map").join(chunks, "chunk_row_id").select("dense_id", "chunk_id")
 
 
-@query(f"WITH {DOC} SELECT source_id, filename FROM (SELECT DISTINCT source_id, filename, local_path FROM manifest_file) m WHERE local_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM doc WHERE source_path = m.local_path)")
-def jn_source_cfg(spark, d):
-    m = table(spark, d, "manifest_file").where("local_path is not null").select("source_id", "filename", "local_path").distinct()
-    return m.join(docs(spark, d).select(F.col("source_path").alias("local_path")), "local_path", "left_anti").select("source_id", "filename")
-
-
-@query(f"""WITH {FILES} SELECT source_id, filename, checksum_algorithm, CASE WHEN sha256 IS NULL THEN 'unknown' WHEN lower(expected_checksum) = lower(sha256) THEN 'same' WHEN expected_checksum IS NULL THEN 'unchecked' ELSE 'other' END AS verdict FROM file""")
-def jn_checksum(spark, d):
-    verdict = F.when(F.col("sha256").isNull(), "unknown").when(F.lower("expected_checksum") == F.lower("sha256"), "same").when(F.col("expected_checksum").isNull(), "unchecked").otherwise("other")
-    return files(spark, d).select("source_id", "filename", "checksum_algorithm", verdict.alias("verdict"))
 
 
 @query(f"""WITH {CHUNK}, c AS (SELECT source_id, count(*) AS chunks FROM chunk GROUP BY 1),
@@ -260,19 +240,19 @@ def prj_enrich(spark, d):
 
 @query(f"WITH {DOC} SELECT source_id, count(*) AS documents, count(*) FILTER (coalesce(length(text), 0) < 200) AS rejected, sum(length(text))::BIGINT AS chars FROM doc GROUP BY 1")
 def agg_ingest(spark, d):
-    return docs(spark, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) < 200).alias("rejected"), F.sum(F.length("text")).alias("chars"))
+    return docs(spark, d, n=F.length("text")).groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.coalesce("n", F.lit(0)) < 200).alias("rejected"), F.sum("n").alias("chars"))
 
 
 @query(f"""WITH {DOC} SELECT count(*) FILTER (text IS NULL OR text = '') AS empty, count(*) FILTER (text <> '' AND length(text) < 200) AS short, count(*) FILTER (length(text) >= 200) AS ok FROM doc""")
 def agg_probe(spark, d):
-    n = F.coalesce(F.length("text"), F.lit(0))
-    return docs(spark, d).agg(F.count_if(n == 0).alias("empty"), F.count_if((n > 0) & (n < 200)).alias("short"), F.count_if(n >= 200).alias("ok"))
+    n = F.col("n")
+    return docs(spark, d, n=F.coalesce(F.length("text"), F.lit(0))).agg(F.count_if(n == 0).alias("empty"), F.count_if((n > 0) & (n < 200)).alias("short"), F.count_if(n >= 200).alias("ok"))
 
 
 @query(f"""WITH {DOC}, r AS (SELECT source_id, CASE WHEN coalesce(length(text), 0) < 200 THEN 'too_short' WHEN row_number() OVER (PARTITION BY source_id, content_sha256, coalesce(length(text), 0) < 200 ORDER BY ingested_at, document_id) > 1 THEN 'duplicate_document' END AS reason FROM doc)
 SELECT source_id, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1, 2""")
 def agg_reject_reason(spark, d):
-    gated = dedup.length_gate(docs(spark, d))
+    gated = docs(spark, d, rejected=F.when(F.coalesce(F.length("text"), F.lit(0)) < 200, "too_short"))
     passed = gated.where(F.col("rejected").isNull())
     first = dedup.first_wins(passed, ["source_id", "content_sha256"], "ingested_at", "document_id").select("document_id")
     twice = passed.join(first, "document_id", "left_anti").withColumn("rejected", F.lit("duplicate_document"))
@@ -330,21 +310,12 @@ def agg_existing_bytes(spark, d):
     return m.groupBy(F.split("local_path", "/")[0].alias("root")).agg(F.sum("actual_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("""SELECT decision, count(*) AS records, round(sum(list_sum(list_transform(curation.review_chain, lambda r: r.confidence))), 6) AS confidence, sum(len(curation.review_chain))::BIGINT AS steps
-FROM (SELECT curation.decision AS decision, curation FROM curation_smoke WHERE curation IS NOT NULL) GROUP BY 1""")
-def agg_trace(spark, d):
-    c = table(spark, d, "curation_smoke").where("curation is not null")
-    chain = F.col("curation.review_chain")
-    total = F.aggregate(F.filter(chain["confidence"], lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
-    per = c.select(F.col("curation.decision").alias("decision"), F.when(F.size(chain) > 0, total).alias("s"), F.when(chain.isNotNull(), F.size(chain)).alias("n"))
-    return per.groupBy("decision").agg(F.count(F.lit(1)).alias("records"), F.round(F.sum("s"), 6).alias("confidence"), F.sum("n").alias("steps"))
-
 
 @query(f"WITH {DOC} SELECT source_path, bit_xor(('0x' || substr(sha256(document_id || chr(0) || coalesce(text, '')), 1, 15))::BIGINT) AS digest, count(*) AS documents FROM doc GROUP BY 1")
 def agg_digest(spark, d):
     """An order-free digest of each input file: the exclusive or of its rows' digests."""
     one = F.conv(F.substring(F.sha2(F.concat("document_id", F.char(F.lit(0)), F.coalesce("text", F.lit(""))), 256), 1, 15), 16, 10).cast("long")
-    return docs(spark, d).groupBy("source_path").agg(F.bit_xor(one).alias("digest"), F.count(F.lit(1)).alias("documents"))
+    return docs(spark, d, one=one).groupBy("source_path").agg(F.bit_xor("one").alias("digest"), F.count(F.lit(1)).alias("documents"))
 
 
 # ---------------------------------------------------------------- windows
@@ -361,12 +332,12 @@ _FP = r"sha256(trim(regexp_replace(replace(replace(lower(regexp_replace(text, '[
 
 @query(f"WITH {DOC} SELECT document_id, {_FP} AS digest FROM doc WHERE text IS NOT NULL")
 def txt_digest(spark, d):
-    return docs(spark, d).where("text is not null").select("document_id", tx.digest(F.col("text")).alias("digest"))
+    return docs(spark, d, digest=tx.digest(F.col("text"))).where("digest is not null").select("document_id", "digest")
 
 
 @query(f"WITH {DOC} SELECT document_id FROM (SELECT document_id, row_number() OVER (PARTITION BY source_id, {_FP} ORDER BY ingested_at, document_id) AS r FROM doc WHERE length(text) >= 200) WHERE r = 1")
 def win_doc_dedup(spark, d):
-    rows = docs(spark, d).where(F.length("text") >= 200).withColumn("digest", tx.digest(F.col("text")))
+    rows = docs(spark, d, digest=F.when(F.length("text") >= 200, tx.digest(F.col("text")))).where("digest is not null")
     return dedup.first_wins(rows, ["source_id", "digest"], "ingested_at", "document_id").select("document_id")
 
 
@@ -375,7 +346,7 @@ _PARA = rf"list_filter(list_transform(regexp_split_to_array({LINES.format('text'
 
 @query(f"WITH {DOC} SELECT document_id, len({_PARA}) AS paragraphs FROM doc WHERE text IS NOT NULL")
 def txt_paragraphs(spark, d):
-    return docs(spark, d).where("text is not null").select("document_id", F.size(tx.paragraphs(F.col("text"))).cast("long").alias("paragraphs"))
+    return docs(spark, d, paragraphs=F.when(F.col("text").isNotNull(), F.size(tx.paragraphs(F.col("text"))).cast("long"))).where("paragraphs is not null").select("document_id", "paragraphs")
 
 
 @query(f"""WITH {DOC}, p AS (SELECT document_id, source_id, ingested_at, ps[i] AS text, i FROM (SELECT *, {_PARA} AS ps, unnest(range(1, len({_PARA}) + 1)) AS i FROM doc WHERE text IS NOT NULL)),
@@ -443,17 +414,6 @@ def win_job_pack(spark, d):
     return planning.next_fit(sizes, ["source_id"], ["document_id"], "size", 40)
 
 
-@query(f"""WITH {CHUNK}, j AS (SELECT source_id, document_id, count(*) AS size FROM chunk GROUP BY 1, 2) SELECT source_id, count(*) AS tasks, sum(size)::BIGINT AS chunks, max(size) AS largest FROM j GROUP BY 1""")
-def agg_job_record(spark, d):
-    sizes = chunk_rows(spark, d).groupBy("source_id", "document_id").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.groupBy("source_id").agg(F.count(F.lit(1)).alias("tasks"), F.sum("size").alias("chunks"), F.max("size").alias("largest"))
-
-
-@query(f"""WITH {CHUNK} SELECT document_id, ordinal, expected FROM (SELECT document_id, ordinal, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS expected FROM (SELECT DISTINCT document_id, ordinal FROM chunk)) WHERE ordinal <> expected""")
-def win_contiguity(spark, d):
-    one = chunk_rows(spark, d).select("document_id", (F.col("ordinal") - 1).alias("start"), F.lit(1).alias("count")).distinct()
-    out = ledger.gaps(one, "document_id", "start", "count")
-    return out.select("document_id", (F.col("start") + 1).alias("ordinal"), (F.col("expected") + 1).alias("expected"))
 
 
 @query(f"""WITH {DOC}, r AS (SELECT document_id, row_number() OVER (ORDER BY document_id) - 1 AS i, count(*) OVER () AS n FROM doc)
@@ -468,12 +428,6 @@ def idx_chunkstore(spark, d):
     return planning.numbered(rows, ["source_id", "document_id", "ordinal", "chunk_id"], "row_no").select("chunk_id", F.col("row_no").cast("long").alias("row_no"))
 
 
-@query("SELECT record_id, arg_max(coalesce(curation.judge, '-'), judged_at) AS judge, max(judged_at) AS judged_at FROM curation_smoke WHERE judged_at IS NOT NULL GROUP BY 1")
-def win_trace_upsert(spark, d):
-    """The last event of each id, placed by its last arrival."""
-    c = table(spark, d, "curation_smoke").where("judged_at is not null").select("record_id", "judged_at", F.coalesce("curation.judge", F.lit("-")).alias("judge"))
-    return ledger.last_wins(c, ["record_id"], "judged_at").select("record_id", "judge", "judged_at")
-
 
 _SQUEEZE = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({LINES.format("regexp_replace({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g')")}, '[ \t]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{{{{3,}}}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
 
@@ -559,8 +513,7 @@ sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 @query(f"WITH {CHUNK}, {_bm25_sql('SELECT pmid AS query_id, question AS query FROM pubmedqa_item WHERE pmid::BIGINT % 20 = 0')} SELECT query_id, chunk_id, score, sparse_rank FROM sparse")
 def ret_sparse(spark, d):
-    chunks = chunk_rows(spark, d)
-    out = retrieval.bm25(_asked(spark, d), retrieval.postings(chunks), retrieval.lengths(chunks))
+    out = retrieval.bm25_over(_asked(spark, d), chunk_rows(spark, d))
     return out.select("query_id", "chunk_id", "score", F.col("sparse_rank").cast("long").alias("sparse_rank"))
 
 
@@ -587,8 +540,8 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 
 def _fused(spark, d):
-    chunks, asked = chunk_rows(spark, d), _mapped(spark, d)
-    sparse = retrieval.bm25(asked.select("query_id", "query"), retrieval.postings(chunks), retrieval.lengths(chunks))
+    asked = cut(_mapped(spark, d))
+    sparse = retrieval.bm25_over(asked, chunk_rows(spark, d))
     return retrieval.fuse(retrieval.dense(asked, unit_vectors(spark, d)), sparse)
 
 
@@ -621,19 +574,10 @@ def idx_sq8_codes(spark, d):
     return codes.select("chunk_id", F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("codes").cast("long").alias("highest"))
 
 
-@query(f"WITH {VEC} SELECT chunk_id, round(sqrt(list_dot_product(list_transform(e, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE))), 6) AS norm FROM vec")
-def idx_flat(spark, d):
-    dot = F.aggregate(F.zip_with("embedding", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-    return unit_vectors(spark, d).select("chunk_id", F.round(F.sqrt(dot), 6).alias("norm"))
-
 
 # ---------------------------------------------------------------- sets, order, state
 
 
-@query("SELECT DISTINCT source_id FROM corpus_document EXCEPT SELECT source_id FROM chunks")
-def set_difference(spark, d):
-    return table(spark, d, "corpus_document").select("source_id").subtract(table(spark, d, "chunks").select("source_id"))
-
 
 @query("SELECT source_id FROM corpus_document INTERSECT SELECT source_id FROM manifest_file")
 def set_intersection(spark, d):
@@ -676,10 +620,6 @@ def st_manifest_upsert(spark, d):
     return ledger.upsert(old, new, ["source_id", "filename"], ["url"], ["bytes", "checksum"], ["status"])
 
 
-@query(f"WITH {FILES} SELECT source_id, filename, status FROM file")
-def st_manifest_update(spark, d):
-    return files(spark, d).select("source_id", "filename", "status")
-
 
 @query(f"""WITH {FILES} SELECT source_id, filename, sum(actual_bytes) OVER (PARTITION BY source_id ORDER BY filename ROWS UNBOUNDED PRECEDING)::BIGINT AS used,
  sum(actual_bytes) OVER (PARTITION BY source_id ORDER BY filename ROWS UNBOUNDED PRECEDING) <= 1000000 AS fits FROM file WHERE actual_bytes IS NOT NULL""")
@@ -696,9 +636,15 @@ def st_resume(spark, d):
     return ledger.resume(now, done, ["local_path"]).select("local_path", "action")
 
 
+def _more() -> None:
+    from . import source_queries  # noqa: F401  (adds its own)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _more()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(_SQL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from pathlib import Path
 
@@ -10,24 +11,53 @@ from pyspark.sql import functions as F
 
 from ..functions.text import signature
 
-SOURCE_SCHEMA = "source_id string, category string, parser string, license_id string, priority int, trusted_unique boolean, structured_cleaning boolean, patterns array<string>"
+SOURCE_SCHEMA = "source_id string, category string, parser string, license_id string, priority int, trusted_unique boolean, paragraph_dedup boolean, structured_cleaning boolean, compression_level int, patterns array<string>, extra string"
+DEFAULTS = {"category": "uncategorised", "priority": 100, "trusted_unique": False, "paragraph_dedup": True, "structured_cleaning": False, "compression_level": 6, "patterns": []}
 
 
 def load_sources(spark: SparkSession, path: str) -> DataFrame:
-    """The ``[[sources]]`` of a TOML file as rows, defaults filled in; an unknown key or a missing id is an error."""
-    data = tomllib.loads(Path(path).read_text(encoding="utf-8"))
+    """The ``[[sources]]`` of a TOML file as rows, defaults filled in, other keys as JSON in extra; a missing id is an error."""
     names = [c.split()[0] for c in SOURCE_SCHEMA.split(", ")]
     rows = []
-    for s in data.get("sources", []):
-        if extra := set(s) - set(names) - {"id"}:
-            raise ValueError(f"unknown keys in a source: {sorted(extra)}")
-        s = {"source_id": s.get("id"), "category": "uncategorised", "priority": 100, "trusted_unique": False, "structured_cleaning": False, "patterns": []} | s
-        if not s["source_id"]:
+    for s in _toml(path).get("sources", []):
+        if not s.get("id"):
             raise ValueError("a source needs an id")
-        rows.append(tuple(s.get(n) for n in names))
+        own = DEFAULTS | {"source_id": s["id"], "extra": json.dumps({k: v for k, v in s.items() if k not in names and k != "id"}, sort_keys=True, default=str)} | {k: v for k, v in s.items() if k in names}
+        rows.append(tuple(own.get(n) for n in names))
     return spark.createDataFrame(rows, SOURCE_SCHEMA)
 
 
+def load_settings(path: str) -> dict:
+    """The ``[pipeline]`` table of a TOML file: sizes of the stages and names of folders and models; empty where it has none."""
+    return dict(_toml(path).get("pipeline", {}))
+
+
+def _toml(path: str) -> dict:
+    return tomllib.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def load_env(text: str) -> dict[str, str]:
+    """``KEY=VALUE`` lines; comments, blank lines and lines without a name left out, quotes around a value taken off."""
+    pairs = (line.removeprefix("export ").partition("=") for raw in text.splitlines() if (line := raw.strip()) and not line.startswith("#"))
+    return {k.strip(): v.strip()[1:-1] if v.strip()[:1] in "\"'" and v.strip()[-1:] == v.strip()[:1] and len(v.strip()) > 1 else v.strip() for k, eq, v in pairs if eq and k.strip()}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host that Spark reports of files under it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def select_sources(sources: DataFrame, wanted: list[str] | None) -> DataFrame:
     """The wanted sources; an id that isn't there is an error."""
     if not wanted:
@@ -45,8 +75,8 @@ def discover(spark: SparkSession, root: str, sources: DataFrame) -> DataFrame:
     (``.part``) are left out. Only the file listing is read, no content.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"), "modificationTime")
-    base = "^file:/*" + root.strip("/").replace(".", r"\.") + "/"
-    rel = listed.withColumn("relative", F.regexp_replace("path", base, "")).where(~F.col("path").endswith(".part"))
+    base = len(qualified(spark, root).rstrip("/")) + 1
+    rel = listed.withColumn("relative", F.substr("path", F.lit(base + 1))).where(~F.col("path").endswith(".part"))
     wants = sources.select("source_id", "category", "parser", "priority", F.posexplode("patterns").alias("pattern_no", "pattern"))
     # a glob as a regular expression: ** over folders, * and ? within one
     glob = F.regexp_replace("pattern", r"([.+^$()\[\]{}|\\])", r"\\$1")
@@ -67,3 +97,12 @@ def magic(content):
     """What the first bytes of a file say it is."""
     head = F.hex(F.substring(content, 1, 5))
     return F.when(head.startswith("1F8B"), "gzip").when(head.startswith("504B"), "zip").when(head.startswith("425A68"), "bzip2").when(head == "255044462D", "pdf").when(F.length(content) == 0, "empty").otherwise("other")
+
+
+def artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """(stage, files, bytes) of each folder right under ``root``; markers and checksums of the writer don't count."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    base = len(qualified(spark, root).rstrip("/")) + 1
+    rel = F.substr("path", F.lit(base + 1))
+    rows = listed.select(F.substring_index(rel, "/", 1).alias("stage"), "length").where(rel.contains("/"))
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))

@@ -8,8 +8,6 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
-#: Elements whose own text is no content.
-SKIPPED = {"ref-list", "ack", "permissions", "license", "supplementary-material"}
 #: Wiki sections without content.
 WIKI_TAILS = {"references", "external links", "see also", "further reading", "notes"}
 
@@ -131,31 +129,40 @@ def wiki_sections(text: str) -> str:
     return "\n\n".join(f"## {h}\n\n{b}" for h, b in plain if b and h.casefold() not in WIKI_TAILS)
 
 
-class _Links(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, list[str]]] = []
-        self.inside = False
+class _Events(HTMLParser):
+    """Tags and texts in order, as (kind, value)."""
+
+    def reset(self) -> None:
+        super().reset()
+        self.events: list[tuple[str, object]] = []
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "a" and a.get("href"):
-            self.found.append((a["href"], [a.get("title") or ""]))
-            self.inside = True
-        elif tag == "img" and self.inside:
-            self.found[-1][1].extend([a.get("alt") or "", a.get("title") or ""])
+        self.events.append((tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        self.inside = self.inside and tag != "a"
+        self.events.append((f"/{tag}", None))
 
     def handle_data(self, data):
-        if self.inside:
-            self.found[-1][1].append(data)
+        self.events.append(("text", data))
 
 
 def links(html: str, base: str) -> list[tuple[str, str]]:
-    """(absolute address, title) of each anchor, without fragments; script, mail and telephone links are left out."""
-    p = _Links()
-    p.feed(html)
-    kept = [(h, t) for h, t in p.found if not re.match(r"\s*(javascript|mailto|tel):", h, re.I)]
-    return [(urldefrag(urljoin(base, h.strip()))[0], " ".join(" ".join(t).split())) for h, t in kept]
+    """(absolute address, title) of each anchor, without fragments; script, mail and telephone links are left out.
+
+    The title is the anchor's own, then its texts and what its images are called, white space collapsed.
+    """
+    source = _Events(convert_charrefs=True)
+    source.feed(html)
+    source.close()
+    out: list[tuple[str, str]] = []
+    events = source.events
+    for i, (kind, value) in enumerate(events):
+        if kind != "a" or not value.get("href") or re.match(r"\s*(javascript|mailto|tel):", value["href"], re.I):
+            continue
+        named_ = [value.get("title")]
+        for inner, v in events[i + 1 :]:
+            if inner in ("a", "/a"):
+                break
+            named_ += [v] if inner == "text" else [v.get("alt"), v.get("title")] if inner == "img" else []
+        out.append((urldefrag(urljoin(base, value["href"].strip()))[0], " ".join(" ".join(x or "" for x in named_).split())))
+    return out

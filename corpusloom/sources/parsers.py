@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,11 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import stable_id, strip
+from ..operators.ledger import first_reason
 from . import markup
 from .records import qa_text, sectioned
 
 DOCUMENT = "document_id string, source_id string, category string, title string, text string, source_path string, external_id string, url string, license_id string, authors array<string>, published string, section string, metadata string, schema_version string"
 COLUMNS = [c.split()[0] for c in DOCUMENT.split(", ")]
+#: What parsers give: documents, and records that can't be parsed with their error and no text.
+PARSED = f"{DOCUMENT}, error string"
 
 
 def document(rows: DataFrame, source: dict, identity: Column, title: Column, text: Column, **more: Column) -> DataFrame:
@@ -32,19 +36,23 @@ def document(rows: DataFrame, source: dict, identity: Column, title: Column, tex
         "metadata": F.lit("{}"),
         "schema_version": F.lit("1.0"),
     } | more
-    return rows.select(*[own.get(c, F.lit(None)).cast("array<string>" if c == "authors" else "string").alias(c) for c in COLUMNS])
+    error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string").alias("error")
+    return rows.select(*[own.get(c, F.lit(None)).cast("array<string>" if c == "authors" else "string").alias(c) for c in COLUMNS], error)
 
 
-def _xml_records(spark: SparkSession, paths: list[str], tag: str) -> DataFrame:
-    """(path, ordinal, xml): the elements ``tag`` of each file; a file without any is one record.
+def _xml_records(spark: SparkSession, paths: list[str], tag: str, whole: bool = True) -> DataFrame:
+    """(path, ordinal, xml): the elements ``tag`` of each file; a file without any is one record where ``whole``.
 
-    Split on the JVM; a large file is one row of the listing, so large deliveries should come in several files, as they do.
+    The reader ends a row at each end tag, so a file is read record by record, and large ones by several tasks; only a file
+    whose tags carry a prefix comes as one row. ``ordinal`` stands for the record's content.
     """
-    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    each = F.regexp_extract_all("value", F.lit(rf"(?s)<(?:\w+:)?{tag}(?:\s[^>]*)?>.*?</(?:\w+:)?{tag}>"), F.lit(0))
-    some = whole.withColumn("all", each)
-    found = F.when(F.size("all") > 0, F.col("all")).otherwise(F.array("value"))
-    return some.select("path", F.posexplode(found).alias("ordinal", "xml"))
+    rows = spark.read.option("lineSep", f"</{tag}>").text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    own = F.regexp_extract("value", rf"(?s)<{tag}(?:\s[^>]*)?>.*", 0)
+    prefixed = F.regexp_extract_all("value", F.lit(rf"(?s)<\w+:{tag}(?:\s[^>]*)?>.*?</\w+:{tag}>"), F.lit(0))
+    content = F.regexp_replace("value", r"(?s)<!--.*?-->|</[\w:.-]+\s*>|\s+", "") != ""  # more than end tags
+    found = F.when(own != "", F.array(F.concat(own, F.lit(f"</{tag}>")))).when(F.size(prefixed) > 0, prefixed)
+    found = found.when(content & F.lit(whole), F.array("value")).otherwise(F.array().cast("array<string>"))
+    return rows.select("path", F.explode(found).alias("xml")).select("path", F.xxhash64("xml").alias("ordinal"), "xml")
 
 
 def _parsed(rows: DataFrame, parse: Callable[[str], dict], schema: str) -> DataFrame:
@@ -62,7 +70,7 @@ def _parsed(rows: DataFrame, parse: Callable[[str], dict], schema: str) -> DataF
                     out.append([None] * len(names) + [f"{type(e).__name__}: {e}"[:500]])
             yield pd.concat([b[["path", "ordinal"]].reset_index(drop=True), pd.DataFrame(out, columns=[*names, "error"])], axis=1)
 
-    return rows.mapInPandas(run, f"path string, ordinal int, {schema}, error string")
+    return rows.mapInPandas(run, f"path string, ordinal long, {schema}, error string")
 
 
 def pubmed_jsonl(spark, paths, source):
@@ -82,7 +90,7 @@ def jats_xml(spark, paths, source):
     out = delimited(spark, tables, source) if tables else None
     if xml or out is None:
         schema = "external_id string, doi string, title string, authors array<string>, published string, text string"
-        rows = _parsed(_xml_records(spark, xml, "article"), markup.article, schema).where("error is null")
+        rows = _parsed(_xml_records(spark, xml, "article"), markup.article, schema)
         identity = F.coalesce("external_id", "doi", F.concat_ws(":", "path", F.col("ordinal").cast("string"), "title"))
         url = F.concat(F.lit("https://doi.org/"), "doi")
         made = document(rows, source, identity, F.col("title"), F.col("text"), external_id=F.col("external_id"), url=url, authors=F.col("authors"), published=F.col("published"), metadata=F.to_json(F.struct("doi")))
@@ -102,8 +110,8 @@ def wikipedia_json(spark, paths, source):
 
 
 def mesh_xml(spark, paths, source):
-    rows = _parsed(_xml_records(spark, paths, "DescriptorRecord"), markup.descriptor, "external_id string, title string, text string").where("error is null")
-    return document(rows, source, F.col("external_id"), F.col("title"), F.col("text"), external_id=F.col("external_id"))
+    rows = _parsed(_xml_records(spark, paths, "DescriptorRecord"), markup.descriptor, "external_id string, title string, text string")
+    return document(rows, source, F.coalesce("external_id", F.concat_ws(":", "path", F.col("ordinal").cast("string"))), F.col("title"), F.col("text"), external_id=F.col("external_id"))
 
 
 def uniprot_dat(spark, paths, source):
@@ -179,7 +187,7 @@ def pdf_pages(pages: DataFrame, source: dict, per: int = 25) -> DataFrame:
     """
     unit = pages.where(strip(F.coalesce("text", F.lit(""))) != "").withColumn("unit", F.floor((F.col("page") - 1) / per))
     last = pages.groupBy("path").agg(F.max("page").alias("pages"))
-    rows = unit.groupBy("path", "unit").agg(F.first("title").alias("title"), F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p")).join(last, "path")
+    rows = unit.groupBy("path", "unit").agg(F.max("title").alias("title"), F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p")).join(last, "path")
     a, b = F.col("unit") * per + 1, F.least((F.col("unit") + 1) * per, F.col("pages"))
     section = F.concat(F.lit("Pages "), a.cast("string"), F.lit("-"), b.cast("string"))
     text = F.concat(F.lit("## "), section, F.lit("\n\n"), F.array_join("p.text", "\n\n"))
@@ -192,8 +200,54 @@ CITATION = "pmid string, title string, abstract string, journal string, year str
 
 
 def pubmed_citations(spark, paths):
-    """Citations of PubMed XML files (also .gz), bad ones with an error."""
-    return _parsed(_xml_records(spark, paths, "PubmedArticle"), markup.citation, CITATION)
+    """Citations of PubMed XML files (also .gz), journal articles and book chapters; what can't be parsed has an error."""
+    both = _xml_records(spark, paths, "PubmedArticle", False).unionByName(_xml_records(spark, paths, "PubmedBookArticle", False))
+    return _parsed(both, markup.citation, CITATION)
+
+
+#: Publication types that carry no findings of their own.
+LOW_VALUE = ["editorial", "news", "newspaper article", "comment", "letter"]
+
+
+def screened(citations: DataFrame, least: int = 300) -> DataFrame:
+    """Citations with reason: accepted, or the first that applies of malformed, short_or_missing_abstract, non_english, retracted and low_value_type."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    types = F.transform("publication_types", F.lower)
+    reasons = {
+        "malformed": F.col("error").isNotNull() | blank("pmid") | blank("title"),
+        "short_or_missing_abstract": F.coalesce(F.length("abstract"), F.lit(0)) < least,
+        "non_english": (F.size("languages") > 0) & ~F.array_contains("languages", "eng"),
+        "retracted": F.array_contains(types, "retracted publication"),
+        "low_value_type": (F.size(types) > 0) & (F.size(F.array_except(types, F.array(*map(F.lit, LOW_VALUE)))) == 0),
+    }
+    return citations.withColumn("reason", first_reason(reasons))
+
+
+def funnel(screened_: DataFrame) -> DataFrame:
+    """(path, input, accepted and a column a reason): how many citations of each file came how far."""
+    names = ["accepted", "malformed", "short_or_missing_abstract", "non_english", "retracted", "low_value_type"]
+    return screened_.groupBy("path").agg(F.count(F.lit(1)).alias("input"), *[F.count_if(F.col("reason") == n).alias(n) for n in names])
+
+
+def pdf(spark, paths, source, read: Callable[[bytes], list[str]] | None = None):
+    """PDF files by 25 pages; ``read`` gives the texts of a file's pages, by default pypdf's where it is installed."""
+    if read is None:
+        try:
+            from pypdf import PdfReader
+        except ImportError:
+            raise ValueError("a reader of PDF is needed: pypdf, or one handed over as read") from None
+
+        def read(raw: bytes) -> list[str]:
+            return [p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, raw in zip(b["path"], b["content"]):
+                texts = read(bytes(raw))
+                yield pd.DataFrame({"path": path, "title": None, "page": range(1, len(texts) + 1), "text": texts})
+
+    pages = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, title string, page long, text string")
+    return pdf_pages(pages, source)
 
 
 PARSERS: dict[str, Callable[[SparkSession, list[str], dict], DataFrame]] = {
@@ -205,6 +259,8 @@ PARSERS: dict[str, Callable[[SparkSession, list[str], dict], DataFrame]] = {
     "obo": obo,
     "reactome_tsv": reactome_tsv,
     "pubmedqa": pubmedqa,
+    "pubmedqa_json": pubmedqa,
+    "pdf": pdf,
     "csv_txt": delimited,
 }
 

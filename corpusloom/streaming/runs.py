@@ -9,41 +9,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import digest
 from ..operators.dedup import first_wins, remembered, unseen
+from ..sources.files import exists
 
 EVENT = "run_id string, seq long, kind string, event_id string, payload string"
-STATE = "ids array<string>, payloads array<string>, markdown string, status string, error string, seq long"
+STATE = "seqs array<long>, kinds array<string>, ids array<string>, payloads array<string>"
 RUN = "run_id string, trace_ids array<string>, trace array<string>, markdown string, status string, error string, seq long"
 
 
-def fold(state: tuple, kind: str, event_id: str | None, payload: str | None, seq: int) -> tuple:
-    """One event more: a trace event replaces its id's and moves to the end, text is appended, completion replaces the
-    text, failure sets the error."""
-    ids, payloads, markdown, status, error, last = state
-    if kind == "trace":
-        keep = [(i, p) for i, p in zip(ids, payloads) if i != event_id] + [(event_id, payload)]
-        ids, payloads = [i for i, _ in keep], [p for _, p in keep]
-    elif kind == "delta":
-        markdown = markdown + (payload or "")
-    elif kind == "completed":
-        markdown, status = payload or markdown, "completed"
-    elif kind == "failed":
-        status, error = "failed", payload
-    return ids, payloads, markdown, status, error, max(last, seq)
+def fold(events: dict[int, tuple]) -> tuple:
+    """The state after events (kind, id, payload) by seq: a trace event replaces its id's and moves to the end, text is
+    appended, completion replaces the text, failure sets the error."""
+    trace: dict = {}
+    markdown, status, error = "", "running", None
+    for seq in sorted(events):
+        kind, event_id, payload = events[seq]
+        if kind == "trace":
+            trace.pop(event_id, None)
+            trace[event_id] = payload
+        elif kind == "delta":
+            markdown += payload or ""
+        elif kind == "completed":
+            markdown, status = payload or markdown, "completed"
+        elif kind == "failed":
+            status, error = "failed", payload
+    return list(trace), list(trace.values()), markdown, status, error, max(events, default=-1)
+
+
+def needed(events: dict[int, tuple]) -> dict[int, tuple]:
+    """The events a later fold still needs: no text before a completion that replaces it."""
+    done = max((s for s, e in events.items() if e[0] == "completed" and e[2]), default=-1)
+    return {s: e for s, e in events.items() if s >= done or e[0] != "delta"}
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """The state of each run after each micro-batch of ``events``; events of a batch are folded in order of seq."""
+    """The state of each run after each micro-batch of ``events``.
+
+    The events of a run are kept and folded in order of seq, so one that comes late, in whatever batch, takes its place, and
+    a delivery that comes again changes nothing.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ([], [], "", "running", None, -1)
-        now = (list(now[0]), list(now[1]), *now[2:])
-        batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        for r in batch.itertuples(index=False):
-            if r.seq > now[5]:  # a delivery that comes again changes nothing
-                now = fold(now, r.kind, r.event_id, r.payload, int(r.seq))
-        state.update(now)
-        yield pd.DataFrame([(key[0], *now)], columns=["run_id", "trace_ids", "trace", "markdown", "status", "error", "seq"])
+        held = {s: (k, i, p) for s, k, i, p in zip(*state.get)} if state.exists else {}
+        for f in frames:
+            for r in f.itertuples(index=False):
+                held.setdefault(int(r.seq), (r.kind, r.event_id, r.payload))
+        held = needed(held)
+        state.update(([*held], *([e[k] for e in held.values()] for k in range(3))))
+        yield pd.DataFrame([(key[0], *fold(held))], columns=["run_id", "trace_ids", "trace", "markdown", "status", "error", "seq"])
 
     return events.groupBy("run_id").applyInPandasWithState(update, RUN, STATE, "update", GroupStateTimeout.NoTimeout)
 
@@ -76,11 +90,9 @@ def ingest_increments(stream: DataFrame, out: str, fingerprints: str, checkpoint
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         owner = F.lit(f"batch-{number}")
-        rows = first_wins(df.withColumn("digest", F.sha2(F.col("text"), 256)), ["source_id", "digest"], "document_id").withColumn("owner", owner)
-        try:
-            seen = spark.read.parquet(fingerprints)
-        except Exception:  # the first batch finds no table
-            seen = spark.createDataFrame([], "kind string, digest string, owner string")
+        rows = first_wins(df.withColumn("digest", digest(F.col("text"))), ["source_id", "digest"], "document_id").withColumn("owner", owner)
+        known = "kind string, digest string, owner string"
+        seen = spark.read.schema(known).parquet(fingerprints) if exists(spark, fingerprints) else spark.createDataFrame([], known)
         scope = F.concat(F.lit(f"{kind}:"), "source_id")
         fresh = unseen(rows, seen, scope, F.col("digest"), "owner")
         added = remembered(seen.limit(0), fresh, scope, F.col("digest"), "owner")

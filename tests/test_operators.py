@@ -54,7 +54,7 @@ def test_licences_markup_and_addresses(spark):
 def test_tails_start_and_end(spark):
     text = "Intro\nReferences\n[1] x\n### still\n## Next\nbody\nhttps://a.b/c\nContents\n## See also\nlink"
     got = cleaning.clean(spark.createDataFrame([("d", text), ("n", None)], "document_id string, text string")).collect()
-    assert {r.document_id: r.text for r in got} == {"d": "Intro\n## Next\nbody"}
+    assert {r.document_id: r.text for r in got} == {"d": "Intro\n## Next\nbody", "n": None}
 
 
 # ------------------------------------------------------------ deduplication

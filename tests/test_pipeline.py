@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.__main__ import main
@@ -90,3 +91,84 @@ def test_a_held_out_source_never_comes_back(spark, tmp_path):
         got = p.search(["kinase of a membrane channel"], mode=mode).collect()
         assert (len(got), [r.source_id for r in got if r.source_id == "small"]) == (10, [])
     assert p.search(["kinase of a membrane channel"], sources=["small"]).count() == 0
+
+
+def test_a_late_event_takes_its_place(spark, tmp_path):
+    batches = [[("r", 1, "delta", None, "a"), ("r", 3, "delta", None, "c"), ("r", 5, "trace", "x", "late")], [("r", 2, "delta", None, "b"), ("r", 4, "trace", "x", "early")]]
+    for k, part in enumerate(batches):
+        spark.createDataFrame(part, runs.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = runs.run_states(spark.readStream.schema(runs.EVENT).parquet(str(tmp_path / "in"))).writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out/b={n}"))).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    last = spark.read.parquet(str(tmp_path / "out")).orderBy("b").collect()[-1]
+    assert (last.markdown, list(last.trace), last.seq) == ("abc", ["late"], 5)
+    assert runs.needed({1: ("delta", None, "a"), 2: ("completed", None, "z"), 3: ("delta", None, "b")}).keys() == {2, 3}
+
+
+def made(spark, tmp_path, sources, **contents):
+    raw = tmp_path / "raw"
+    raw.mkdir(exist_ok=True)
+    for name, text in contents.items():
+        (raw / name.replace("__", ".")).write_text(text)
+    (tmp_path / "s.toml").write_text(sources)
+    return Pipeline(spark, str(raw), str(tmp_path / "tables"), str(tmp_path / "s.toml"), Settings(minimum=5, target=30, maximum=40, overlap=4, min_chunk_tokens=1))
+
+
+PM = '[[sources]]\nid="pm"\nparser="pubmed_jsonl"\ncategory="literature"\npatterns=["*.jsonl"]\n'
+
+
+def lines(*ids, salt=""):
+    return "\n".join(json.dumps({"pmid": i, "title": f"Paper {i}", "abstract": f"The finding {i} {salt} concerns the membrane k{i}. " * 12}) for i in ids)
+
+
+def test_a_clean_corpus_and_one_with_nothing_to_accept(spark, tmp_path):
+    accepted, rejected = made(spark, tmp_path, PM, a__jsonl=lines("1", "2")).ingest()
+    assert (accepted.count(), rejected.count()) == (2, 0)
+    p = made(spark, tmp_path, PM, a__jsonl=json.dumps({"pmid": "1", "abstract": "short"}))
+    accepted, rejected = p.ingest()
+    assert (accepted.count(), [r.reason for r in rejected.collect()]) == (0, ["too_short"])
+    assert p.chunk().count() == 0
+
+
+def test_rows_of_one_id_are_cleaned_and_chunked_apart(spark, tmp_path):
+    trusted = PM.replace("category", "trusted_unique=true\ncategory")
+    p = made(spark, tmp_path, trusted, a__jsonl=lines("1"), b__jsonl=lines("1", salt="other"))
+    accepted, _ = p.ingest()
+    assert accepted.count() == 2 and accepted.select("document_id").distinct().count() == 1
+    assert all(("other" in r.text) != ("finding 1  concerns" in r.text.replace("1 concerns", "1  concerns")) for r in accepted.collect())
+    chunks = p.chunk().collect()
+    assert len({r.chunk_id for r in chunks}) == len(chunks) and sorted({r.ordinal for r in chunks if "other" in r.text}) == sorted({r.ordinal for r in chunks if "other" not in r.text}) == list(range(1, 1 + len(chunks) // 2))
+    assert all(len({x for x in ("other",) if x in r.text}) in (0, 1) for r in chunks)
+
+
+def test_a_record_that_cant_be_parsed_is_rejected(spark, tmp_path):
+    ok = f"<article><front><article-meta><article-title>T</article-title></article-meta></front><body><p>{'A word on the cell. ' * 20}</p></body></article>"
+    p = made(spark, tmp_path, '[[sources]]\nid="x"\nparser="jats_xml"\npatterns=["*.xml"]\n', a__xml=f"<set>{ok}<article><p>open</article></set>")
+    accepted, rejected = p.ingest()
+    assert accepted.count() == 1 and [(r.reason, r.detail.split(":")[0]) for r in rejected.collect()] == [("parse_error", "ParseError")]
+    assert [(r.source_id, r.status) for r in p.probe().collect()] in ([("x", "ok")], [("x", "error")])
+
+
+def test_resume_takes_new_inputs_only(spark, tmp_path):
+    p = made(spark, tmp_path, PM, a__jsonl=lines("1", "2"))
+    p.ingest(resume=True)
+    p = made(spark, tmp_path, PM, b__jsonl=lines("1", "3"))
+    accepted, rejected = p.ingest(resume=True)
+    assert sorted(r.external_id for r in accepted.collect()) == ["1", "2", "3"]
+    assert [(r.reason, r.source_path.rsplit("/", 1)[-1]) for r in rejected.collect()] == [("duplicate_document", "b.jsonl")]
+    p.ingest(resume=True)
+    assert accepted.count() == 3 and p.compact() == 2
+    made(spark, tmp_path, PM, b__jsonl=lines("1", "3", "4"))
+    with pytest.raises(ValueError, match="changed"):
+        p.ingest(resume=True)
+    with pytest.raises(ValueError):
+        p.reset()
+    p.chunk(delete_documents=True)
+    p.embed()
+    once = spark.read.parquet(str(tmp_path / "tables/embeddings.complete")).inputFiles()
+    p.embed()
+    assert spark.read.parquet(str(tmp_path / "tables/embeddings.complete")).inputFiles() == once
+    p.index()
+    assert spark.read.parquet(str(tmp_path / "tables/codes")).count() == spark.read.parquet(str(tmp_path / "tables/dense_map")).count() == p.status().first().embedded
+    assert {r.stage for r in p.artifacts().collect()} >= {"chunks", "codes", "postings", "store"}
+    p.reset(yes=True)
+    assert not (tmp_path / "tables/chunks").exists() and not (tmp_path / "tables/documents").exists()

@@ -45,7 +45,7 @@ def test_entry_runs(spark):
 
 
 def test_every_core_query_has_sql():
-    assert set(entry.core.queries()) == set(entry.core.oracle_sql()) and len(entry.core.queries()) >= 70
+    assert set(entry.core.queries()) == set(entry.core.oracle_sql()) and len(entry.core.queries()) >= 110
 
 
 def test_core_does_not_import_the_llm_subpackage():
