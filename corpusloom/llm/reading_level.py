@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,25 +193,29 @@ def levels(seen: DataFrame, more: DataFrame, model: dict, key: str) -> DataFrame
     seen = seen.where("wanted")
     own = seen.where(F.exists("seen", lambda s: s["word"].isNotNull())).select(key, F.explode(F.filter("seen", lambda s: s["word"].isNotNull())).alias("s")).select(key, "s.word", "s.clause", "s.size")
     added = own.join(more, "word").groupBy(key).agg(F.collect_list(F.struct("clause", "size", "grade")).alias("added"))  # the words of one text
-    rows = seen.select(key, F.transform(F.filter("seen", lambda s: s["grade"].isNotNull()), lambda s: F.struct(s["clause"], s["size"], s["grade"])).alias("met")).join(added, key, "left")
+    met = F.transform(F.filter("seen", lambda s: s["grade"].isNotNull()), lambda s: F.struct(s["clause"].alias("clause"), s["size"].alias("size"), s["grade"].alias("grade")))
+    rows = seen.select(key, met.alias("met")).join(added, key, "left")
+    rows = rows.select(key, F.concat("met", F.coalesce("added", F.array().cast("array<struct<clause: int, size: int, grade: double>>"))).alias("sharp"))
     q, cuts = model["q"], model["cuts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for met, also in zip(b.column("met").to_pylist(), b.column("added").to_pylist()):
-                all_ = (met or []) + (also or [])
-                if not all_:
-                    out.append(LEVELS[n // 2])
-                    continue
-                clause, size, grade = (np.array([x[c] for x in all_]) for c in ("clause", "size", "grade"))
-                weight = size / np.bincount(clause)[clause]
-                order = np.argsort(grade, kind="stable")
+            counts = pa.compute.list_value_length(b.column("sharp")).to_numpy(zero_copy_only=False)
+            flat = b.column("sharp").flatten()
+            clause, size, grade = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            level = np.full(len(counts), len(LEVELS) // 2)
+            some = counts > 0
+            if len(grade):
+                text = np.repeat(np.arange(len(counts)), counts)
+                _, at, words = np.unique(text * (int(clause.max()) + 1) + clause, return_inverse=True, return_counts=True)
+                weight = size / words[at]
+                order = np.lexsort((grade, text))
                 mass = np.cumsum(weight[order])
-                out.append(LEVELS[int(np.searchsorted(cuts, grade[order[int(np.searchsorted(mass, q * mass[-1] - 1e-9))]]))])
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(out, pa.string())], [key, "academic_level"])
+                ends = mass[np.cumsum(counts[some]) - 1]
+                begins = np.append(0, ends[:-1])
+                level[some] = np.searchsorted(cuts, grade[order][np.searchsorted(mass, begins + q * (ends - begins) - 1e-9)])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([LEVELS[k] for k in level.tolist()], pa.string())], [key, "academic_level"])
 
-    n = len(LEVELS)
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, academic_level string")
 
 
