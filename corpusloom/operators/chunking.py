@@ -122,13 +122,18 @@ def chunk(df: DataFrame, minimum: int = MINIMUM, target: int = TARGET, maximum:
             pieces = F.transform("_s", lambda s, i: F.transform(F.get("_w", i), lambda w: made(s, passage(s, F.get("_t", i), w, F.get("_used", i)))))
             rows = rows.withColumn("_c", F.flatten(pieces))
         else:
-            ids = F.flatten(F.transform("_w", lambda ws, i: F.transform(ws, lambda w: F.slice(F.get("_t", i), w["start"] + 1, w["end"] - w["start"]))))
-            place = F.flatten(F.transform("_w", lambda ws, i: F.transform(ws, lambda w: F.struct(i.alias("i"), (F.get("_used", i) + F.size(F.get("_t", i)) <= maximum).alias("whole")))))
-            rows = rows.withColumn("_p", tokenizer.texts(ids)).withColumn("_at", place)
-            rows = rows.withColumn("_c", F.zip_with("_at", "_p", lambda a, p: made(F.get("_s", a["i"]), F.when(a["whole"], F.get("_s", a["i"])["body"]).otherwise(p))))
+            def piece(s: Column, t: Column, w: Column, used: Column) -> Column:
+                whole = used + F.size(t) <= maximum
+                ids = F.when(~whole, F.slice(t, w["start"] + 1, w["end"] - w["start"]))
+                return F.struct(s["section"].alias("section"), s["prefix"].alias("prefix"), F.when(whole, s["body"]).alias("body"), ids.alias("ids"))
+
+            rows = rows.withColumn("_c", F.flatten(F.transform("_s", lambda s, i: F.transform(F.get("_w", i), lambda w: piece(s, F.get("_t", i), w, F.get("_used", i))))))
     kept = [c for c in df.columns if c not in (text, "section")]
     fallback = [F.col("section").alias("_section")] if "section" in df.columns else []
     out = rows.select(*kept, *fallback, F.posexplode("_c").alias("_at", "_c")).withColumn("ordinal", F.col("_at") + 1)
+    if tokenizer and not tokenizer.spans:  # a window's ids become its text once each window is a row
+        ids = F.coalesce("_c.ids", F.array().cast("array<int>"))
+        out = out.withColumn("_p", F.get(tokenizer.texts(F.array(ids)), F.lit(0))).withColumn("_c", made(F.col("_c"), F.coalesce("_c.body", "_p")))
     count = F.size(words(F.col("_c.text"))) if tokenizer is None else F.get(tokenizer.counts(F.array("_c.text")), F.lit(0))
     name = F.concat(F.lit("chunk:"), F.substring(F.sha2(F.concat(F.col(key), F.char(F.lit(0)), F.col("ordinal").cast("string"), F.char(F.lit(0)), F.col("_c.text")), 256), 1, 24))
     section = F.coalesce("_c.section", "_section") if fallback else F.col("_c.section")
