@@ -41,7 +41,7 @@ MOST_SAMPLE = 20_000
 UNKNOWN = 0.1
 SHARE = 0.2
 LEAN = 0.5
-YES = -0.7  # a logistic output of a third
+YES = -1.4  # a logistic output of a fifth
 LEAST_WORDS = 4
 MOST_WORDS = 45
 CACHED = 300_000
