@@ -513,7 +513,7 @@ sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 @query(f"WITH {CHUNK}, {_bm25_sql('SELECT pmid AS query_id, question AS query FROM pubmedqa_item WHERE pmid::BIGINT % 20 = 0')} SELECT query_id, chunk_id, score, sparse_rank FROM sparse")
 def ret_sparse(spark, d):
-    out = retrieval.bm25_over(_asked(spark, d), chunk_rows(spark, d))
+    out = retrieval.bm25_over(_asked(spark, d), table(spark, d, "chunks"), last_by="written_at")
     return out.select("query_id", "chunk_id", "score", F.col("sparse_rank").cast("long").alias("sparse_rank"))
 
 
@@ -541,7 +541,7 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 def _fused(spark, d):
     asked = cut(_mapped(spark, d))
-    sparse = retrieval.bm25_over(asked, chunk_rows(spark, d))
+    sparse = retrieval.bm25_over(asked, table(spark, d, "chunks"), last_by="written_at")
     return retrieval.fuse(retrieval.dense(asked, unit_vectors(spark, d)), sparse)
 
 

@@ -139,6 +139,27 @@ def test_bm25_and_phrases(spark):
     assert got[0].score == pytest.approx(want, abs=1e-6)
 
 
+def test_bm25_over_moves_no_row_for_each_hit(spark, monkeypatch):
+    rng = random.Random(3)
+    names = ["p53", "DNA", "dm-34", "cell", "x", "Mediated_by", "dm", "34"]
+    rows = [(f"c{i:03}", k, "t", None, " ".join(rng.choices(["p53", "dna", "dm-34", "cell", "mediated by", "the", "34", "dm"], k=rng.randint(0, 9)))) for i in range(300) for k in range(1 + (i % 5 == 0))]
+    chunks = spark.createDataFrame(rows, "chunk_id string, written_at int, title string, section string, text string")
+    asked = spark.createDataFrame([(f"q{i % 23:02}", " ".join(rng.choices(names, k=3))) for i in range(25)] + [("none", None), ("absent", "zebra")], "query_id string, query string")
+    latest = ledger.last_wins(chunks, ["chunk_id"], "written_at")
+    terms = asked.select("query_id", F.explode(F.regexp_extract_all("query", F.lit("[A-Za-z0-9][A-Za-z0-9_-]{1,}"), F.lit(0))).alias("t")).distinct().groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("t")).alias("query"))
+    want = retrieval.bm25(terms, retrieval.postings(latest), retrieval.lengths(latest), 7)  # by way of a row a hit
+    order = ["query_id", "sparse_rank", "chunk_id", "score"]
+    want = sorted(map(tuple, want.select(*order).collect()))
+
+    def no_hits(*_, **__):
+        raise AssertionError("a row a query, term and chunk grows with queries times chunks")
+
+    monkeypatch.setattr(retrieval, "hits", no_hits)
+    for block in (5, 4096):
+        got = sorted(map(tuple, retrieval.bm25_over(asked, chunks, 7, last_by="written_at", block=block).select(*order).collect()))
+        assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6)
+
+
 def test_dense_in_blocks_and_fusion(spark):
     rng = random.Random(1)
     v = [(f"c{i:02}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(40)]
