@@ -44,6 +44,15 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_search_makes_no_row_for_each_hit(spark, monkeypatch):
+    def no_hits(*_, **__):
+        raise AssertionError("a row a query, term and chunk grows with queries times chunks")
+
+    monkeypatch.setattr(entry.core.retrieval, "hits", no_hits)
+    rows = entry.queries()["ret_search"](spark, "/root/testdata/sf0.001").collect()
+    assert len({r.query_id for r in rows}) > 1 and {r["rank"] for r in rows} == set(range(1, 11))
+
+
 def test_every_core_query_has_sql():
     assert set(entry.core.queries()) == set(entry.core.oracle_sql()) and len(entry.core.queries()) >= 110
 
