@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import strip, unix_lines, words
 
 MINIMUM, TARGET, MAXIMUM, OVERLAP = 320, 450, 510, 64
 _MARK, _END = "\u0001", "\u0002"
+SLICE_ROWS = 256
 
 
 def sections(df: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
@@ -55,23 +60,49 @@ class Tokenizer:
     encode: Callable[[str], list[int]] | None = None
     decode: Callable[[list[int]], str] | None = None
 
-    def _mapped(self, f: Callable, kind: T.DataType) -> Callable[[Column], Column]:
-        each = F.pandas_udf(lambda s: s.map(lambda texts: None if texts is None else [f(x) for x in texts]), T.ArrayType(kind))
-        return each.asNondeterministic()  # so that it is called once, not wherever its column is used
+    def _mapped(self, made: Callable[[list[str]], pa.Array], kind: T.DataType) -> Callable[[Column], Column]:
+        """``made`` gives, as one array, what all texts of a slice of rows become; tokens are held as numbers of Arrow, not as objects."""
+
+        def run(lists: pa.Array) -> pa.Array:
+            parts = []
+            for some in (lists.slice(a, SLICE_ROWS) for a in range(0, len(lists), SLICE_ROWS)):
+                each = made(some.flatten())
+                n = pc.fill_null(pc.list_value_length(some), 0).to_numpy()
+                offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+                parts.append(pa.ListArray.from_arrays(offsets, each, mask=some.is_null() if some.null_count else None))
+            return pa.concat_arrays(parts) if parts else pa.array([], to_arrow_type(T.ArrayType(kind)))
+
+        return F.arrow_udf(run, T.ArrayType(kind)).asNondeterministic()  # so that it is called once, not wherever its column is used
+
+    def _numbers(self, one: Callable[[str], list], width: int) -> Callable[[pa.Array], pa.Array]:
+        """The tokens of each text as a list of int32, or of pairs of them."""
+
+        def made(texts: pa.Array) -> pa.Array:
+            each = [np.array(one(x), np.int32).reshape(-1, width) for x in texts.to_pylist()]
+            flat = np.concatenate([*each, np.zeros((0, width), np.int32)])
+            offsets = pa.array(np.append(0, np.cumsum([len(x) for x in each])).astype(np.int32))
+            value = pa.array(flat[:, 0]) if width == 1 else pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["begin", "end"])
+            return pa.ListArray.from_arrays(offsets, value)
+
+        return made
 
     def counts(self, texts: Column) -> Column:
         one = self.spans or self.encode
-        return self._mapped(lambda x: len(one(x)), T.IntegerType())(texts)
+        return self._mapped(lambda some: pa.array([len(one(x)) for x in some.to_pylist()], pa.int32()), T.IntegerType())(texts)
 
     def offsets(self, texts: Column) -> Column:
         pair = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
-        return self._mapped(lambda x: [{"begin": a, "end": b} for a, b in self.spans(x)], T.ArrayType(pair))(texts)
+        return self._mapped(self._numbers(self.spans, 2), T.ArrayType(pair))(texts)
 
     def ids(self, texts: Column) -> Column:
-        return self._mapped(lambda x: list(self.encode(x)), T.ArrayType(T.IntegerType()))(texts)
+        return self._mapped(self._numbers(self.encode, 1), T.ArrayType(T.IntegerType()))(texts)
 
     def texts(self, ids: Column) -> Column:
-        return self._mapped(lambda x: self.decode([int(i) for i in x]), T.StringType())(ids)
+        def made(some: pa.Array) -> pa.Array:
+            flat, ends = some.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(some).to_numpy())).tolist()
+            return pa.array([self.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
+
+        return self._mapped(made, T.StringType())(ids)
 
 
 def _sectioned(df: DataFrame, title: str, text: str) -> Column:
@@ -116,7 +147,7 @@ def chunk(df: DataFrame, minimum: int = MINIMUM, target: int = TARGET, maximum:
 
             def passage(s: Column, t: Column, w: Column, used: Column) -> Column:
                 begin, end = F.get(t, w["start"])["begin"], F.get(t, w["end"] - 1)["end"]
-                back = F.length(F.regexp_extract(F.substr(s["body"], F.lit(1), begin), r"\S*\z", 0))  # to the begin of the word
+                back = F.length(F.regexp_extract(F.reverse(F.substr(s["body"], F.lit(1), begin)), r"^\S*", 0))  # to the begin of the word, from behind, as a search for \S*\z tries every place
                 return F.when(used + F.size(t) <= maximum, s["body"]).otherwise(F.substr(s["body"], begin - back + 1, end - begin + back))
 
             pieces = F.transform("_s", lambda s, i: F.transform(F.get("_w", i), lambda w: made(s, passage(s, F.get("_t", i), w, F.get("_used", i)))))

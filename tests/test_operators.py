@@ -119,6 +119,26 @@ def test_chunks_carry_prefix_and_keep_white_space(spark):
         chunking.chunk(df, 5, 20, 10, 4)
 
 
+def test_tokens_of_a_batch_are_held_as_numbers(spark):
+    """10,000 rows of 700 tokens are one batch of Arrow; with an object a token it took over a GB."""
+    import resource
+
+    peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+    tokenizer = chunking.Tokenizer(spans=lambda text: [(2 * i, 2 * i + 1) for i in range(len(text) // 2)] if text != "peak" else [(0, peak())])
+    first = spark.range(0, 10_000, 1, 1).select(F.array(F.when(F.col("id") < 9_999, F.repeat(F.lit("ab"), 700)).otherwise("peak")).alias("t"))
+    got = first.select(tokenizer.offsets(F.col("t"))[0].alias("o")).select(F.size("o").alias("n"), F.element_at("o", -1)["end"].alias("end"))
+    n, held = got.agg(F.sum("n"), F.max(F.when(F.col("n") == 1, F.col("end")))).first()
+    assert n == 700 * 9_999 + 1 and held < 900  # the last text asks for the worker's memory, in MB
+
+
+def test_tokenizer_of_nulls_and_empty_texts(spark):
+    rows = spark.createDataFrame([(0, None), (1, []), (2, ["", "ab c"])], "k int, t array<string>")
+    t = chunking.Tokenizer(spans=lambda x: [(i, i + 1) for i in range(len(x)) if x[i] != " "], encode=lambda x: [ord(c) for c in x], decode=lambda ids: "".join(map(chr, ids)))
+    got = {r.k: r for r in rows.select("k", t.counts(F.col("t")).alias("n"), t.offsets(F.col("t")).alias("o"), t.ids(F.col("t")).alias("i"), t.texts(t.ids(F.col("t"))).alias("back")).collect()}
+    assert got[0][1:] == (None, None, None, None) and got[1][1:] == ([], [], [], [])
+    assert got[2].n == [0, 3] and [[tuple(p) for p in x] for x in got[2].o] == [[], [(0, 1), (1, 2), (3, 4)]] and got[2].i == [[], [97, 98, 32, 99]] and got[2].back == ["", "ab c"]
+
+
 # ------------------------------------------------------------ retrieval
 
 TEXTS = {"c1": "p53 mediated repair of dna", "c2": "dna and more dna in the cell", "c3": "mediated by p53 in cells", "c4": "unrelated words only", "c5": ""}
