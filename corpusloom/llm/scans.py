@@ -105,7 +105,8 @@ def suspects(counts: DataFrame) -> DataFrame:
 
 def lines(docs: DataFrame) -> DataFrame:
     """(document_id, titled, line_no, line): lines counted from 1, outer white space off; titled is the title's head shape."""
-    each = docs.select("document_id", _head_shape(F.regexp_replace("title", r"[0-9]+", " ")).alias("titled"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    shaped = docs.select("document_id", _head_shape(F.regexp_replace("title", r"[0-9]+", " ")).alias("titled"), "text")  # before lines are made, so once a text
+    each = shaped.select("document_id", "titled", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     return each.select("document_id", "titled", (F.col("at") + 1).cast("long").alias("line_no"), F.regexp_replace("raw", r"^[\s ]+|[\s ]+$", "").alias("line"))
 
 
@@ -130,7 +131,9 @@ def kinds(every: DataFrame) -> DataFrame:
     text = Window.partitionBy("document_id")
     line = F.col("line")
     number = F.regexp_extract(line, r"^[^\p{L}\p{N}]*(?i:(?:page|pages|p|pp|pg|seite|s)\.?\s*)?([0-9]{1,5}|[ivxlcdm]+)[^\p{L}\p{N}]*$", 1)
-    rows = every.withColumn("num", F.when(number != "", F.when(number.rlike("^[0-9]"), number.cast("long")).otherwise(_roman(number))))
+    rows = every.withColumn("number", number)  # a column of its own, so that it is sought once a line
+    number = F.col("number")
+    rows = rows.withColumn("num", F.when(number != "", F.when(number.rlike("^[0-9]"), number.cast("long")).otherwise(_roman(number))))
     rows = rows.withColumn("width", F.max(F.length(line)).over(text)).withColumn("nums", F.collect_set("num").over(text))
     steps = F.exists("nums", lambda x: F.abs(x - F.col("num")).between(1, 12))
     lone = (F.size("nums") == 1) & line.rlike(r"[0-9]|^[ivxlc]+$")
@@ -146,6 +149,8 @@ def kinds(every: DataFrame) -> DataFrame:
         & ~line.rlike(r"[0-9]\.[0-9]")
         & (words <= 10)
     )
+    rows = rows.withColumn("looks", fit)
+    fit = F.col("looks")
     part = F.trim(F.regexp_replace(_head_shape(F.regexp_replace(F.regexp_replace(line, r"\s+[—–|]\s.*$", ""), r"(?i),?\s*v[o0]l\W*\s*[0-9ivxlc]+\W*$", "")), r"^# | #$", ""))
     titled = F.col("titled")
     is_title = F.when(fit, (F.length(titled) >= 4) & (F.levenshtein(part, titled) <= F.greatest(F.lit(1), F.floor(F.length(titled) * 0.12))))

@@ -255,3 +255,11 @@ def test_blocks_of_items_change_nothing(spark, monkeypatch):
     for words in (2_000_000, 60):
         monkeypatch.setattr(L, "BLOCK_WORDS", words)
         assert {(r.document_id, r.pmid) for r in L.by_text(chunked(spark, texts), items).collect()} == want
+
+
+def test_title_shape_is_made_once_a_text(spark):
+    docs = spark.createDataFrame([("d", "The Title 7", "one\ntwo")], "document_id string, title string, text string")
+    every = S.lines(docs)
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("translate(")  # below the line that makes lines of a text
+    assert [r.titled for r in every.collect()] == ["ehe eieie"] * 2
