@@ -41,6 +41,7 @@ LEAF = 1536
 SAMPLE = 16_384
 TASK_ROWS = 40_000
 BLOCK = 8_192
+AT_ONCE = 4  # blocks are taken in turns that bring in about so many times the table
 SETTLED = 0.01
 UNIT = 1_000_000_000  # a cosine is held in billionths
 NONE = -2_000_000_000  # below any cosine
@@ -337,24 +338,35 @@ def graph(points: DataFrame, dim: int = DIM, keep: int = LIST, trees: int = TREE
     salted = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
     made = salted.groupBy("tree", "leaf", "salt").applyInArrow(_first_lists(dim, keep, leaf, together), "node long, home long, nb binary, sim binary")
 
+    # a block brings in a vector of its neighbours' neighbours for each of its nodes' neighbours or so, a small table whole
+    turns = max(1, math.ceil(math.ceil(count / BLOCK) * min(count, BLOCK * keep) / max(1, AT_ONCE * count)))
+
     merged = "node long, home long, nb binary, sim binary, changed int"
     listed = made.groupBy("node").agg(F.collect_list("nb").alias("nbs"), F.collect_list("sim").alias("sims"), F.max("home").alias("home"))
     g = cut(listed.withColumn("old", F.lit(None).cast("binary")).mapInArrow(_merge_lists(keep), merged))
     while True:
         active = g.where("changed > 0")  # all in the first round, then those with new neighbours
-        near = _pairs_of(active).join(g.select("node", "nb"), "node").select("home", F.lit(1).alias("kind"), "node", F.col("nb").alias("load"))
-        inner = active.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"))
-        lists = cut(inner.unionByName(near))
-        reach = lists.groupBy("home").applyInArrow(_both, "home long, node long")
         full = F.length("sim") >= 4 * keep  # what a candidate must surpass: the last entry of a full list
         worst = g.select("node", F.when(full, F.concat(F.substring("sim", -4, 4), F.substring("nb", -8, 8))).otherwise(F.lit(_ANY)).alias("worst"))
         vectors = points.select("node", "raw").join(worst, "node").select("node", F.concat("raw", "worst").alias("load"))
-        far = reach.join(vectors, "node").select("home", F.lit(2).alias("kind"), "node", "load")
-        better = lists.unionByName(far).groupBy("home").applyInArrow(_descend(dim, keep), "node long, nb binary, sim binary")
+        better = None
+        for turn in range(turns):  # blocks are independent; what is brought in for a share of them is gone before the next
+            some = active.where(F.pmod(F.xxhash64("home"), F.lit(turns)) == turn) if turns > 1 else active
+            near = _pairs_of(some).join(g.select("node", "nb"), "node").select("home", F.lit(1).alias("kind"), "node", F.col("nb").alias("load"))
+            inner = some.select("home", F.lit(0).alias("kind"), "node", F.col("nb").alias("load"))
+            lists = cut(inner.unionByName(near))
+            reach = lists.groupBy("home").applyInArrow(_both, "home long, node long")
+            far = reach.join(vectors, "node").select("home", F.lit(2).alias("kind"), "node", "load")
+            found = lists.unionByName(far).groupBy("home").applyInArrow(_descend(dim, keep), "node long, nb binary, sim binary")
+            if turns > 1:
+                found = cut(found)
+                del lists, near, inner, reach, far
+                release(points.sparkSession)
+            better = found if better is None else better.unionByName(found)
         joined = g.select("node", "home", "nb", "sim", F.col("nb").alias("old")).unionByName(better.select("node", F.lit(None).cast("long").alias("home"), "nb", "sim", F.lit(None).cast("binary").alias("old")))
         both = joined.groupBy("node").agg(F.collect_list("nb").alias("nbs"), F.collect_list("sim").alias("sims"), F.max("home").alias("home"), F.max("old").alias("old"))
         g = cut(both.mapInArrow(_merge_lists(keep), merged))
-        del lists, better
+        found = better = lists = near = inner = reach = far = both = joined = None
         release(points.sparkSession)
         if (g.agg(F.sum("changed")).first()[0] or 0) <= settled * keep * count:  # entries only ever get better, so this ends
             return g, forest

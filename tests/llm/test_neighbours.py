@@ -114,3 +114,15 @@ def test_recall_with_leaves_dealt_to_several_tasks(spark):
     got = N.neighbours(spark.createDataFrame(rows(vectors), SCHEMA), leaf=200, task_rows=60).collect()
     want = brute(vectors)
     assert sum(r.neighbour in want[r.id] for r in got) / len(got) >= 0.93  # 0.949 with leaves dealt by hash to tasks of 60
+
+
+def test_blocks_taken_in_turns_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(rows([rng.normal(size=64) for _ in range(300)]), SCHEMA).cache()
+    monkeypatch.setattr(N, "BLOCK", 64)
+    how = {"leaf": 40, "trees": 2, "keep": 12}
+    want, cuts = sorted(map(tuple, N.neighbours(df, **how).collect())), []
+    monkeypatch.setattr(N, "AT_ONCE", 2)
+    monkeypatch.setattr(N, "cut", lambda x, cut=N.cut: cuts.append(x.columns) or cut(x))
+    assert sorted(map(tuple, N.neighbours(df, **how).collect())) == want
+    assert cuts.count(["home", "kind", "node", "load"]) % 3 == 0  # five blocks in three turns a round
