@@ -73,6 +73,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more, before the application ends."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the number tasks are sized by."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

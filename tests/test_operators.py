@@ -1,6 +1,7 @@
 import math
 import random
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,28 @@ def test_dense_in_blocks_and_fusion(spark):
     assert [r.chunk_id for r in fused] == ["y", "x", "z"] and fused[0].rrf_score == pytest.approx(1 / 62 + 1 / 61)
 
 
+def test_legs_keep_rows_in_few_tasks_and_no_tables_of_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    v = [(f"c{i:03}", i, "t", None, " ".join(rng.choices("abcdefgh", k=9)).replace("a", "dna").replace("b", "rna"), [rng.gauss(0, 1) for _ in range(8)]) for i in range(240)]
+    rows = spark.createDataFrame(v, "chunk_id string, written_at int, title string, section string, text string, embedding array<float>")
+    asked = spark.createDataFrame([(f"q{i}", ["dna", "rna", "dna rna"][i % 3], v[i][5]) for i in range(7)], "query_id string, query string, embedding array<float>")
+    legs = [lambda rows, **how: retrieval.dense(asked, rows, 5, **how), lambda rows, **how: retrieval.bm25_over(asked, rows, 5, last_by="written_at", **how)]
+    want = [sorted(map(tuple, leg(rows).collect())) for leg in legs]
+    tasks, shared = [], Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    old = set(shared.glob("table-*"))
+    monkeypatch.setattr(retrieval, "SLICES", 2, raising=False)
+    monkeypatch.setattr(retrieval, "written", lambda df, f=retrieval.written: f(df.repartition(24)))
+    monkeypatch.setattr(retrieval, "top", lambda df, *how, f=retrieval.top: tasks.append(df.rdd.getNumPartitions()) or f(df, *how))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task a file
+    try:
+        got = [sorted(map(tuple, leg(rows.repartition(12), block=2).collect())) for leg in legs]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want
+    assert max(tasks) <= spark.sparkContext.defaultParallelism == 4  # however many rows, what is shuffled grows with the queries alone
+    assert len(set(shared.glob("table-*")) - old) == 4 + 2  # the results of the blocks alone
+
+
 def test_quantizer_round_trip(spark):
     v = spark.createDataFrame([("a", [0.0, 5.0]), ("b", [1.0, 5.0]), ("c", [0.5, 5.0])], "chunk_id string, embedding array<float>")
     ranges = retrieval.quantizer(v)
