@@ -7,8 +7,8 @@ other planes and wider leaves better it at a cost in proportion to the nodes, wh
 is joined with itself: for each block of nodes, the lists of their neighbours, then the vectors of
 neighbours of neighbours, are brought in by two Spark joins, and every better neighbour found
 goes into the lists of both its ends. By the triangle inequality of angles, most neighbours' neighbours can't be among the first K + 1 of
-a node; their vectors are not brought in, which leaves out none that could. This repeats until few lists change, however many rounds that
-takes. ``search`` answers other queries by greedy search along the graph: the best nodes not yet opened are joined with the graph,
+a node; they are not compared with it. That leaves out none that could be among its own first, but may leave out that it is among the first
+of the other, which the other's own candidates must find. This repeats until few lists change, however many rounds that takes. ``search`` answers other queries by greedy search along the graph: the best nodes not yet opened are joined with the graph,
 round by round.
 
 Every comparison is of the exact cosine, in doubles and rounded to nine decimals, which lists hold as
